@@ -64,7 +64,8 @@ def _pack(buckets: int, k: int):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in chunks(batch, "text", 16 << 20):
-                sets = sets_of(part["text"], k)
+                # Hashing takes many times a text's bytes for a moment, so it goes by smaller pieces.
+                sets = [s for piece in chunks(part, "text") for s in sets_of(piece["text"], k)]
                 n = np.array([len(s) for s in sets], np.int64)
                 keys = b"".join(_key(s.astype("<u8").tobytes()) for s in sets)
                 ids = part["doc_id"]
