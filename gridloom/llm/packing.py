@@ -15,7 +15,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -29,41 +31,44 @@ from gridloom.llm.common import chunks, ranked, written
 
 CAPACITY = 4096
 END = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Where splitting into words and encoding each gives what encoding the whole text gives: Latin letters, printable ASCII.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ]|<\\|")
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\\|")
+#: The tokenizer's own split, where no other characters stand.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class Encoder:
     """Texts to token ids (little-endian unsigned 32-bit), encoding each distinct word once as long as the cache has room."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.cache: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self._ids(text)
-        words = self.pattern.findall(text.lower())
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Words that the cache lacks are encoded together, for all of the texts."""
+        split = [None if _OTHER.search(t) or not unicodedata.is_normalized("NFC", t) else _WORD.findall(t.lower()) for t in texts]
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
+        words = set().union(*(s for s in split if s))
+        new = list(words.difference(cache))
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list(dict.fromkeys(words))
+            new = list(words)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+            ids = e.ids
+            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return [self._whole(t) if s is None else b"".join([cache[w] for w in s]) for t, s in zip(texts, split)]
+
+
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, which may serve many tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -74,12 +79,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             for part in chunks(batch, "text"):
                 out: list[list] = [[], [], [], [], []]
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids = encoder.encode(text or "") + end
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()])):
+                    ids += end
                     n = len(ids) // 4
                     for k, start in enumerate(range(0, n, capacity)):
                         own = ids[4 * start : 4 * (start + capacity)]
