@@ -11,7 +11,8 @@ from pyspark.sql.types import NumericType, StringType
 
 def format_kv(kv: Column) -> Column:
     """500.0 -> 500kV, 34.5 -> 34.5kV, null -> empty."""
-    return F.coalesce(F.concat(F.regexp_replace(F.format_string("%.6f", kv.cast("double")), r"\.?0+$", ""), F.lit("kV")), F.lit(""))
+    text = F.regexp_replace(F.format_string("%.6f", kv.cast("double")), r"\.?0+$", "")
+    return F.when(kv.isNull() | F.isnan(kv.cast("double")), "").otherwise(F.concat(text, F.lit("kV")))
 
 
 def join_parts(parts: list[Column], by: str = " - ") -> Column:
