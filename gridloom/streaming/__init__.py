@@ -1,0 +1 @@
+"""Streams over the grid: lines' states as they arrive, held against the static model."""
