@@ -119,12 +119,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
     if left[capacity]:
         take([capacity])
-    # The index of sums: sum_two[s] has a pair of lengths that adds up to s; counts only fall, so a sum that has none is settled.
-    have = left > 0
-    lengths = np.flatnonzero(have)
     two = np.zeros(capacity + 1, bool)
-    for a in lengths:
-        two[a : capacity + 1] |= have[: capacity + 1 - a]
+
+    def index() -> None:
+        """two[s]: some pair of lengths adds up to s. Counts only fall, so a sum that has none is settled; the others may be out of date."""
+        have = left > 0
+        two[:] = False
+        for a in np.flatnonzero(have):
+            two[a : capacity + 1] |= have[: capacity + 1 - a]
+
+    index()
 
     def enough(combination: list[int]) -> bool:
         own, many = np.unique(np.array(combination), return_counts=True)
@@ -140,12 +144,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
                 if enough([first, int(x), int(gap - x)]):
                     return [first, int(x), int(gap - x)]
         a = np.flatnonzero(left[:gap] > 0)[::-1]
-        for x in a[two[gap - a]]:
+        tried = a[two[gap - a]]
+        for x in tried:
             rest = gap - int(x)
             b = np.arange((rest + 1) // 2, rest)
             for y in b[(left[b] > 0) & (left[rest - b] > 0)]:
                 if enough(c := [first, int(x), int(y), int(rest - y)]):
                     return c
+        if len(tried) > 200:  # the index misled: it is made anew
+            index()
         return None
 
     for first in range(capacity - 1, 0, -1):
