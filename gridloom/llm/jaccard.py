@@ -269,13 +269,21 @@ def _region_links(t: float):
     return run
 
 
-def _split(rows: DataFrame, t: float, most: int) -> DataFrame:
-    """Cuts regions of over `most` elements at sampled pivots; rows (region, rep, s)."""
+def _large(sizes: DataFrame, most: int) -> dict[int, int]:
+    """Regions of over `most` elements: fewer than all elements / most. sizes: (region, n)."""
+    return {r[0]: r[1] for r in sizes.groupBy("region").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") > most).collect()}
+
+
+def _split(rows: DataFrame, sizes: DataFrame, t: float, most: int) -> DataFrame:
+    """Cuts regions of over `most` elements at sampled pivots; rows (region, rep, s). Without any, the rows are not even made here."""
+    large = _large(sizes, most)
+    if not large:
+        return rows
+    rows = written(rows, "rows")
     done: DataFrame | None = None
     before: dict[int, int] = {}
     while True:
-        sizes = rows.groupBy("region").agg(F.sum(F.length("s") / 8).cast("long").alias("n")).where(F.col("n") > most)
-        large = {r[0]: r[1] for r in sizes.collect()}  # fewer than all elements / most
+        large = _large(rows.select("region", (F.length("s") / 8).alias("n")), most)
         stuck = [r for r, n in large.items() if n > 0.9 * before.get(r, math.inf)]
         large = {r: n for r, n in large.items() if r not in stuck}
         if not large:
@@ -324,8 +332,9 @@ def near_components(docs: DataFrame, t: float = NEAR, k: int = SHINGLE, max_elem
     prefix = written(_prefixes(sets, t), "prefixes")
     hubs = written(prefix.groupBy("h", "c").agg(F.min("rep").alias("region"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "c", "region"), "hubs")
     members = written(prefix.join(hubs, ["h", "c"]).select("region", "rep").distinct(), "members")
-    rows = written(members.join(sets, "rep").select("region", "rep", "s"), "rows")
-    links = _split(rows, t, max_elements).groupBy("region").applyInArrow(_region_links(t), "a long, b long")
+    sizes = members.join(sets.select("rep", (F.length("s") / 8).alias("n")), "rep").select("region", "n")
+    rows = members.join(sets, "rep").select("region", "rep", "s")
+    links = _split(rows, sizes, t, max_elements).groupBy("region").applyInArrow(_region_links(t), "a long, b long")
     roots = components(links)
     named = written(classes.join(roots, classes.k1 == roots.node, "left").select("k1", "k2", "rep", F.coalesce("root", "k1").alias("root")), "named")
     least = written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
