@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 NEAR = 0.8
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

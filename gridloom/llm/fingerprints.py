@@ -199,7 +199,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = IDF_BAND)
                         yield finish(ids, texts)
                     done = True
                     continue
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield finish(ids, texts)
                     ids, texts, size = [], [text], 0
                 ids.append(doc)
