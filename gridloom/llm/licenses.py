@@ -4,7 +4,8 @@ A block is a line. A template's tokens are its distinct words, put into one glob
 all texts, ties by hash. A block meets a template when |block & template| >= t * |template|. With need = ceil(t * |template|), a block
 that meets it has one of the template's first |template| - need + 1 tokens (prefix filter) and at least `need` distinct words (length
 filter); and if the first one it has stands at place p, at most |template| - p are shared (positional filter). What passes is counted
-exactly. Beside the join, fixed phrases are found word by word wherever they stand, over the ends of lines too.
+exactly. Every pair that meets gives its label. Only of notices that share nearly all words (GPL-2 and GPL-3, GPL and LGPL, CC BY and CC BY-NC) one is
+left out where the words that tell it from the other are missing and the other's are there. Beside the join, fixed phrases are found word by word wherever they stand, over the ends of lines too.
 
 Defined cases: a null text counts as empty; texts without words have no places and score 0; repeated rows give a row each; an empty
 table gives an empty result; other columns are ignored.
@@ -59,6 +60,36 @@ class Templates:
         pairs = sorted((int(x), t, p) for t, own in enumerate(self.tokens) for p, x in enumerate(own[: len(own) - self.need[t] + 1]))
         self.prefix = np.array([x for x, _, _ in pairs], np.uint64)
         self.to = np.array([(t, p) for _, t, p in pairs], np.int64).reshape(-1, 2)
+        # Templates of other labels whose whole text meets this one too, if words of this one are missing there: (other, these words, words of the other only).
+        self.rivals: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        for t, a in enumerate(self.tokens):
+            near = [o for o, b in enumerate(self.tokens) if self.labels[o] != self.labels[t] and self.need[t] <= len(np.intersect1d(a, b)) < len(a)]
+            self.rivals.append([(o, np.setdiff1d(a, self.tokens[o]), np.setdiff1d(self.tokens[o], a)) for o in near])
+
+    def own(self, h: np.ndarray, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """The matches (first word, end, template, containment) but those that are a rival's: none of the words that tell the template
+        from the rival is there, and a match of the rival, with words of its own if it has any, covers half of the span at least."""
+        out = []
+        by: dict[int, list[tuple[int, int]]] = {}
+        for lo, hi, t, _ in spans:
+            by.setdefault(t, []).append((lo, hi))
+
+        def before(words: np.ndarray) -> np.ndarray:
+            return np.concatenate([[0], np.cumsum(np.isin(h, words))])
+
+        def covered(rival: int, words: np.ndarray) -> np.ndarray:
+            has, step = before(words), np.zeros(len(h) + 1, np.int64)
+            for lo, hi in by.get(rival, ()):
+                if not len(words) or has[hi] > has[lo]:
+                    step[lo] += 1
+                    step[hi] -= 1
+            return np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
+
+        tells = {t: [(before(mine), covered(o, other)) for o, mine, other in self.rivals[t] if o in by] for t in by}
+        for lo, hi, t, share in spans:
+            if not any(mine[hi] == mine[lo] and 2 * (cover[hi] - cover[lo]) >= hi - lo for mine, cover in tells[t]):
+                out.append((lo, hi, t, share))
+        return out
 
     def join(self, h: np.ndarray, block: np.ndarray) -> list[tuple[int, int, float]]:
         """(block, template, containment) for all pairs at or over the threshold. block: that of each word, not falling."""
@@ -129,14 +160,10 @@ def scan(column: pa.Array, templates: Templates, phrases: dict[str, str] = PHRAS
         base[t].append((i, label))
     found: list[dict[str, float]] = [{} for _ in range(texts.n)]
     met = templates.join(h, block)
-    best: dict[int, float] = {}
-    for b, _, share in met:
-        best[b] = max(best.get(b, 0.0), share)
-    for b, t, share in met:
-        if share < best[b]:  # a block's label is that of the template it meets best: notices share most of their words
-            continue
-        text = int(text_of[np.searchsorted(block, b)])
-        label = templates.labels[t]
+    edge = [np.searchsorted(block, [b for b, _, _ in met], side) for side in ("left", "right")]
+    spans = [(int(lo), int(hi), t, share) for lo, hi, (_, t, share) in zip(*edge, met)]
+    for lo, _, t, share in templates.own(h, spans):
+        label, text = templates.labels[t], text_of[lo]
         found[text][label] = max(found[text].get(label, 0.0), share)
     count = np.diff(at)
     return {

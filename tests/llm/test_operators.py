@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,20 @@ def test_licence_join_is_exact(spark):
     assert found == want and len(want) >= 2 * len(licenses.TEMPLATES) - 2
 
 
+def labels_of(texts):
+    own = licenses.Templates(licenses.TEMPLATES, {}, 0.8)
+    return [set(filter(None, x.split(","))) for x in licenses.scan(pa.array(texts, pa.large_string()), own)["labels"]]
+
+
+def test_licence_labels_of_one_block():
+    """A template that meets a block keeps its label beside one that fits better; GPL-2 and GPL-3 are told by their numbers."""
+    text = dict(reversed(licenses.TEMPLATES))
+    mit, bsd = licenses.TEMPLATES[1][1], text["bsd"]
+    assert labels_of([f"{mit} {bsd.removeprefix('redistribution ')}"]) == [{"mit", "bsd"}]
+    assert labels_of([text[x] for x in ("gpl-2", "gpl-3", "lgpl", "cc-by")]) == [{"gpl-2"}, {"gpl-3"}, {"lgpl"}, {"cc-by"}]
+    assert labels_of([f"{text['gpl-2']} {text['gpl-3']}", text["gpl-3"].removesuffix(" version 3")]) == [{"gpl-2", "gpl-3"}] * 2
+
+
 def compare_components(df, rows, **how):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(df, **how).collect()}
     assert found == jaccard.brute_components(dict(rows))
