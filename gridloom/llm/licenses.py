@@ -1,6 +1,7 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates.
 
-A block is a line. A template's tokens are its distinct words, put into one global order: rarest first by document frequency over
+A block is a line, or any run of as many words as the template has over the threshold (a notice wrapped over lines, with up to a
+quarter of other words between), wherever it starts and over the ends of lines. A template's tokens are its distinct words, put into one global order: rarest first by document frequency over
 all texts, ties by hash. A block meets a template when |block & template| >= t * |template|. With need = ceil(t * |template|), a block
 that meets it has one of the template's first |template| - need + 1 tokens (prefix filter) and at least `need` distinct words (length
 filter); and if the first one it has stands at place p, at most |template| - p are shared (positional filter). What passes is counted
@@ -51,12 +52,13 @@ class Templates:
     """The templates as token sets under the global order, ready to be joined with blocks."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[int, int], threshold: float):
-        self.labels, self.tokens, self.need = [], [], []
+        self.labels, self.tokens, self.need, self.width = [], [], [], []
         for label, text in templates:
             own = sorted({int(x) for x in _hashes(text)}, key=lambda x: (frequency.get(x, 0), x))
             self.labels.append(label)
             self.tokens.append(np.array(own, np.uint64))
             self.need.append(max(1, math.ceil(threshold * len(own) - 1e-9)))
+            self.width.append(math.ceil(len(_hashes(text)) / threshold - 1e-9))
         pairs = sorted((int(x), t, p) for t, own in enumerate(self.tokens) for p, x in enumerate(own[: len(own) - self.need[t] + 1]))
         self.prefix = np.array([x for x, _, _ in pairs], np.uint64)
         self.to = np.array([(t, p) for _, t, p in pairs], np.int64).reshape(-1, 2)
@@ -66,6 +68,35 @@ class Templates:
             near = [o for o, b in enumerate(self.tokens) if self.labels[o] != self.labels[t] and self.need[t] <= len(np.intersect1d(a, b)) < len(a)]
             self.rivals.append([(o, np.setdiff1d(a, self.tokens[o]), np.setdiff1d(self.tokens[o], a)) for o in near])
 
+    def windows(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first word, end, template, containment) for every run of `width` words of a text (at: first word of each text and the end)
+        that meets a template. Each run is counted: a token stands in those that end from its place to before its next one."""
+        out = []
+        for t, (tokens, need) in enumerate(zip(self.tokens, self.need)):
+            hit = np.flatnonzero(np.isin(h, tokens))
+            rare = hit[np.isin(h[hit], tokens[: len(tokens) - need + 1])]  # prefix
+            if not len(rare):
+                continue
+            width = self.width[t]
+            k = np.searchsorted(rare, hit)
+            hit = hit[np.minimum(np.abs(rare[np.minimum(k, len(rare) - 1)] - hit), np.abs(rare[np.maximum(k - 1, 0)] - hit)) < width]
+            text = np.searchsorted(at, hit, "right") - 1
+            hit, text = (x[np.bincount(text, minlength=len(at))[text] >= need] for x in (hit, text))  # length
+            if not len(hit):
+                continue
+            order = np.lexsort((hit, h[hit]))
+            follows = np.full(len(hit), len(h))
+            follows[order[:-1]] = np.where(h[hit[order[:-1]]] == h[hit[order[1:]]], hit[order[1:]], len(h))
+            end = np.minimum(np.minimum(follows, hit + width), at[text + 1])
+            place = np.unique(np.concatenate([hit, end]))
+            step = np.bincount(np.searchsorted(place, hit), minlength=len(place)) - np.bincount(np.searchsorted(place, end), minlength=len(place))
+            have = np.cumsum(step)
+            # Counts change only at these places, so between two of them all runs are alike; each place stands for those.
+            for i in np.flatnonzero(have >= need):
+                last = int(place[i])
+                out.append((max(int(at[np.searchsorted(at, last, "right") - 1]), last - width + 1), last + 1, t, int(have[i]) / len(tokens)))
+        return out
+
     def own(self, h: np.ndarray, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
         """The matches (first word, end, template, containment) but those that are a rival's: none of the words that tell the template
         from the rival is there, and a match of the rival, with words of its own if it has any, covers half of the span at least."""
@@ -161,7 +192,7 @@ def scan(column: pa.Array, templates: Templates, phrases: dict[str, str] = PHRAS
     found: list[dict[str, float]] = [{} for _ in range(texts.n)]
     met = templates.join(h, block)
     edge = [np.searchsorted(block, [b for b, _, _ in met], side) for side in ("left", "right")]
-    spans = [(int(lo), int(hi), t, share) for lo, hi, (_, t, share) in zip(*edge, met)]
+    spans = [(int(lo), int(hi), t, share) for lo, hi, (_, t, share) in zip(*edge, met)] + templates.windows(h, at)
     for lo, _, t, share in templates.own(h, spans):
         label, text = templates.labels[t], text_of[lo]
         found[text][label] = max(found[text].get(label, 0.0), share)

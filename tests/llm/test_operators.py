@@ -184,6 +184,36 @@ def test_licence_labels_of_one_block():
     assert labels_of([f"{text['gpl-2']} {text['gpl-3']}", text["gpl-3"].removesuffix(" version 3")]) == [{"gpl-2", "gpl-3"}] * 2
 
 
+@pytest.mark.parametrize("per_line", [3, 7, 12])
+def test_wrapped_licences(per_line):
+    """A notice wrapped over lines, as a comment too, is found as on one line; words that stand far apart are not."""
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + per_line]) for i in range(0, len(text.split()), per_line))
+    for label, text in licenses.TEMPLATES:
+        for mark in ("", " * ", "# "):
+            found = labels_of([f"{prose(30, 1)}\n\n{wrap(text, mark)}\n\n{prose(30, 2)}", "\n".join(w + "\n" + prose(12, 3) for w in text.split())])
+            assert label in found[0] and not found[1]
+
+
+def test_licence_windows_are_exact():
+    rng = random.Random(6)
+    pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    texts = [" ".join(w for _ in range(6) for w in rng.choices(pool, k=rng.randint(0, 9)) + rng.choice(licenses.TEMPLATES)[1].split()[rng.randint(0, 4) :]) for _ in range(40)] + ["", "all rights"]
+    own = licenses.Templates(licenses.TEMPLATES, {}, 0.8)
+    h, at, _ = Texts(texts).words(NON_ALNUM)
+    best: dict = {}
+    for lo, hi, t, share in own.windows(h, at):
+        k = int(np.searchsorted(at, lo, "right") - 1)
+        assert at[k] <= lo < hi <= at[k + 1] and hi - lo <= own.width[t] and abs(np.isin(own.tokens[t], h[lo:hi]).mean() - share) < 1e-9
+        best[k, t] = max(best.get((k, t), 0), share)
+    want = {}
+    for k in range(len(texts)):
+        for t, tokens in enumerate(own.tokens):
+            most = max((int(np.isin(tokens, h[max(at[k], i - own.width[t] + 1) : i + 1]).sum()) for i in range(at[k], at[k + 1])), default=0)
+            if most >= own.need[t]:
+                want[k, t] = most / len(tokens)
+    assert best == want and len(want) > 50
+
+
 def compare_components(df, rows, **how):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(df, **how).collect()}
     assert found == jaccard.brute_components(dict(rows))
