@@ -1,15 +1,13 @@
-"""Line dedup in DataFrame operations only: SimHash of normalised lines, joined on pigeonhole blocks, verified by edit similarity;
+"""Line dedup in DataFrame operations only: like lines are found by an exact prefix filter over words and verified by edit similarity;
 one occurrence of each connected group stays.
 
-A line is normalised by lower-casing and reading every run of other characters than letters as a space.
-Lines of fewer than MIN_WORDS words are left alone. Equal normalised lines are one group from the start (counted before anything is
-joined). SimHash has 48 bits, over the words; the counters of three bits share a long (of two in lines that may have 2^16 words; these count to 2^24), so a word costs 16 additions.
-Exploding keeps rows without words (outer), else the planner would work out the words once more to filter them; what is not exploded is
-worked out before, else it would be once a word. Four blocks of 12 bits, each with the line's longest word, are the join keys: lines that
-differ in few words keep a block and that word. Within a key's lines each is compared with the first and with its neighbour in the
-order of SimHash, which is linear in a group of any size; lines linked in neither way may still be connected through others.
-A pair is verified by edit similarity over words, 1 - edits / words of the longer line >= SIMILARITY. Of a connected group the
-occurrence with the smallest (doc_id, line number) stays.
+A line is normalised by lower-casing and reading every run of other characters than letters as a space. Equal normalised lines are one
+group from the start (counted before anything is joined). Lines of MIN_WORDS words at least are compared by edit similarity over words,
+1 - edits / words of the longer line >= SIMILARITY. Of n words at most a fifth may then be missing in the other line. So if distinct words
+are put into one global order, like lines share two of the first n / 5 + 2: keys are the rare ones of these words and the pairs of
+frequent ones (told by counts in CELLS cells). A line is compared with the NEIGHBOURS before it in each key; in keys of more lines, all
+pairs that are then in different components are compared too, so components are those of all pairs. 128 bits of a line's words rule
+out most pairs unread. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
 
 Defined cases: null and empty texts stay as they are; a document that loses all its lines has an empty text; rows with a null doc_id
 are left alone; repeated rows (equal doc_id and text) count as one occurrence, so they keep the same lines; an empty table gives an
@@ -26,12 +24,12 @@ from gridloom.llm.graph import components, maybe_in
 
 MIN_WORDS = SHINGLE
 SIMILARITY = NEAR
-BITS, BLOCKS = 48, 4
+BITS = 48
 HASH_BITS = 56
-
-
-#: A line of 2^16 words at least has so many characters.
-LONG_LINE = 2 * (1 << 16) - 1
+MIN_CHARS = 6
+PREFIX = 2
+CELLS = 1 << 22
+NEIGHBOURS = 24
 
 
 def words_of(line: Column) -> Column:
@@ -63,27 +61,70 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("raw")).select("doc_id", "th", F.posexplode_outer("raw").alias("line", "raw"))
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line, lh (hash of the normalised line), words, sim, anchor (longest word)."""
-    # A word's length in the upper bits: the largest of these numbers is that of the longest word.
-    number = F.shiftleft(F.least(F.length("word"), F.lit(127)).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64("word").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    out = None
-    for rows, lane in ((lines(docs).where(F.length("raw") < LONG_LINE), 16), (lines(docs.where(F.length("text") >= LONG_LINE)).where(F.length("raw") >= LONG_LINE), 24)):
-        words = rows.select("doc_id", "th", "line", words_of(F.col("raw")).alias("w")).withColumn("lh", F.xxhash64("w")).select("doc_id", "th", "line", "lh", F.explode_outer("w").alias("word"))
-        part = with_simhash(words.select("doc_id", "th", "line", "lh", number.alias("w")), ["doc_id", "th", "line", "lh"], lane=lane)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    """doc_id, th, line, lh (hash of the normalised line), words, chars (letters), top (the first distinct words in the global order,
+    as hashes: as many as may be missing in a like line, and PREFIX more), s0 and s1 (128 bits, of which each word sets one)."""
+    # A word's length in the upper bits: the order is by falling length, then hash.
+    number = lambda w: F.shiftleft(F.least(F.length(w), F.lit(127)).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    rows = lines(docs).select("doc_id", "th", "line", words_of(F.col("raw")).alias("w")).withColumn("words", F.size("w"))
+    rows = rows.withColumn("all", F.when(F.col("words") >= min_words, F.array_distinct(F.transform("w", number))))
+    top = F.transform(F.slice(F.sort_array("all", asc=False), 1, _missing(similarity) + PREFIX), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    bits = [F.aggregate("all", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == F.lit(64 * k), a.bitwiseOR(one(x))).otherwise(a)).alias(f"s{k}") for k in range(2)]
+    return rows.select("doc_id", "th", "line", F.xxhash64("w").alias("lh"), "words", F.length(F.array_join("w", "")).alias("chars"), top.alias("top"), *bits)
+
+
+def _missing(similarity: float) -> Column:
+    """How many words of a line may be missing in a like one: longer - edits words match, and so n - 0.8 longer <= 0.2 n miss."""
+    return F.floor(F.col("words") * F.lit(1 - similarity) + 1e-9).cast("int")
+
+
+def _keyed(groups: DataFrame, similarity: float) -> DataFrame:
+    """lh, words, s0, s1, key: like lines share a key. They share the PREFIX first of their common words in both tops (prefix filter): so a rare
+    word, or else two frequent ones, which are keys as a pair. Lines of so few distinct words that they may share one only have keys of their own."""
+    cell = F.col("x").bitwiseAND(F.lit(CELLS - 1))
+    counts = groups.select(F.explode("top").alias("x")).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS)
+    bits = [0] * (CELLS // 64)
+    for word, value in counts.groupBy(F.shiftright("c", 6)).agg(F.expr("bit_or(shiftleft(1L, c & 63))")).collect():
+        bits[word] = value
+    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")
+    frequent = lambda x: F.getbit(F.get(table, F.shiftright(x.bitwiseAND(F.lit(CELLS - 1)), 6)), x.bitwiseAND(F.lit(63))) == 1
+    split = groups.where("top is not null").select("lh", "words", "s0", "s1", "top", F.filter("top", frequent).alias("often"))
+    rare = F.transform(F.array_except("top", "often"), lambda x: F.xxhash64(F.lit(0), x))
+    pairs = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.xxhash64(F.lit(1), F.least(x, y), F.greatest(x, y)))))
+    few = F.when(F.size("top") <= _missing(similarity) + 1, F.transform("top", lambda x: F.xxhash64(F.lit(2), x))).otherwise(F.array().cast("array<long>"))
+    return split.select("lh", "words", "s0", "s1", F.explode(F.concat(rare, pairs, few)).alias("key"))
 
 
 def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of line hashes that are verified to be alike."""
-    width = BITS // BLOCKS
-    keys = F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)), F.col("anchor")) for i in range(BLOCKS)])
-    keyed = groups.select("lh", "sim", F.explode(keys).alias("key"))
-    order = Window.partitionBy("key").orderBy("sim", "lh")
-    beside = keyed.select("lh", F.first("lh").over(order).alias("first"), F.lag("lh").over(order).alias("near")).where("near is not null")
-    paired = beside.select("lh", F.explode(F.array("first", "near")).alias("to")).where("`to` <> lh")
-    pairs = written(paired.select(F.least("lh", "to").alias("a"), F.greatest("lh", "to").alias("b")).distinct(), "pairs")
+    """a, b: verified pairs of line hashes, enough to connect all that are alike. Each line is compared with the NEIGHBOURS before it in
+    each of its keys, so in a key of few lines all are; in a larger one, all pairs that these leave in different components are compared too."""
+    order = Window.partitionBy("key").orderBy("lh")
+    beside = _keyed(groups, similarity).withColumn("before", F.collect_list(F.struct("lh", "words", "s0", "s1")).over(order.rowsBetween(-NEIGHBOURS, -1)))
+    near = lambda x: _may(similarity, F.col("words"), F.col("s0"), F.col("s1"), x["words"], x["s0"], x["s1"])
+    paired = beside.where(F.size("before") > 0).select("lh", F.explode(F.filter("before", near)).alias("to"))
+    pairs = written(paired.select(F.col("to.lh").alias("a"), F.col("lh").alias("b")).distinct(), "pairs")
+    found = written(_verified(docs, groups, pairs, similarity), "alike")
+    keyed = _keyed(groups, similarity)
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("key")
+    roots = components(found)
+    named = written(keyed.join(large, "key").join(roots, F.col("lh") == roots.node, "left").select("key", "lh", "words", "s0", "s1", F.coalesce("root", "lh").alias("root")), "large")
+    other = named.select("key", *[F.col(c).alias(f"o_{c}") for c in ("lh", "words", "s0", "s1", "root")])
+    may = _may(similarity, *[F.col(f"{o}{c}") for o in ("", "o_") for c in ("words", "s0", "s1")])
+    rest = named.join(other, "key").where((F.col("lh") < F.col("o_lh")) & (F.col("root") != F.col("o_root")) & may)
+    rest = written(rest.select(F.col("lh").alias("a"), F.col("o_lh").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    return found.unionByName(_verified(docs, groups, rest, similarity))
+
+
+def _may(similarity: float, n: Column, a: Column, b: Column, m: Column, c: Column, d: Column) -> Column:
+    """Whether two lines may be alike: no more words miss than edits allow, in either; each bit that misses is a word that does."""
+    most = lambda k: k - F.greatest(n, m) * F.lit(similarity) + 1e-9
+    lost = lambda p, q, r, t: F.bit_count(p.bitwiseAND(F.bitwise_not(r))) + F.bit_count(q.bitwiseAND(F.bitwise_not(t)))
+    return (lost(a, b, c, d) <= most(n)) & (lost(c, d, a, b) <= most(m))
+
+
+def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of line hashes whose lines are alike."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
     places = written(groups.join(wanted, "lh", "left_semi").select("lh", "first.doc_id", "first.line", "first.th"), "places")
     # A word as one character outside the surrogates: edits over words are then edits over characters.
@@ -100,9 +141,9 @@ def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
-    found = written(_measured(docs), "lines").where(F.col("words") >= min_words)
+    found = written(_measured(docs, similarity, min_words).where(F.col("words") >= min_words), "lines")
     first = F.min(F.struct("doc_id", "line", "th")).alias("first")
-    groups = written(found.groupBy("lh").agg(first, F.min("sim").alias("sim"), F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n")), "groups")
+    groups = written(found.groupBy("lh").agg(first, F.first("words").alias("words"), F.first("top").alias("top"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.count(F.lit(1)).alias("n")), "groups")
     roots = components(_links(docs, groups, similarity))
     named = groups.join(roots, groups.lh == roots.node, "left").select("lh", "first", "n", "root")
     named = written(named.where("n > 1 or root is not null"), "named")

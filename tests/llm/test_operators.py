@@ -287,6 +287,38 @@ def test_line_dedup_recall(spark):
     assert found[found.doc_id % 2 == 0].n_dropped.sum() == 0 and found[found.doc_id % 2 == 1].n_dropped.mean() > 0.5
 
 
+def test_line_dedup_is_exact(spark, monkeypatch):
+    """Against all pairs compared, around the threshold; few neighbours and frequent words, so that large keys are met."""
+    monkeypatch.setattr(line_dedup, "NEIGHBOURS", 3)
+    rng, texts = random.Random(17), []
+    for k in range(30):
+        n = (5, 8, 14, 30, 60)[k % 5]
+        base = rng.choices(_WORDS[: (12, 400)[k % 2]], k=n)
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rng.randint(0, n // 5 + 1)):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randint(0, 1)] = rng.choices(_WORDS, k=rng.randint(0, 1)) if len(w) > 5 else rng.choices(_WORDS, k=1)
+            texts.append(w)
+    root = list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for j, y in enumerate(texts):
+        for i, x in enumerate(texts[:j]):
+            row = list(range(len(y) + 1))
+            for p, u in enumerate(x):
+                last, row = row, [p + 1]
+                for q, v in enumerate(y):
+                    row.append(min(last[q] + (u != v), last[q + 1] + 1, row[q] + 1))
+            if x == y or (min(len(x), len(y)) >= 5 and row[-1] <= 0.2 * max(len(x), len(y)) + 1e-9):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    found = frame(line_dedup.dedup_lines(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")))
+    assert set(found[found.n_dropped == 0].doc_id) == {k for k in range(len(texts)) if top(k) == k}
+
+
 def test_extract(spark):
     rng = random.Random(123)
     pages = [html_blocks.page_maker(rng) for _ in range(80)]
