@@ -2,7 +2,7 @@
 one occurrence of each connected group stays.
 
 A line is normalised by lower-casing and reading every run of other characters than letters as a space. Equal normalised lines are one
-group from the start (counted before anything is joined). Lines of MIN_WORDS words at least are compared by edit similarity over words,
+group from the start (counted before anything is joined), if they have MIN_WORDS words or MIN_CHARS letters. Lines of MIN_WORDS words at least are compared by edit similarity over words,
 1 - edits / words of the longer line >= SIMILARITY. Of n words at most a fifth may then be missing in the other line. So if distinct words
 are put into one global order, like lines share two of the first n / 5 + 2: keys are the rare ones of these words and the pairs of
 frequent ones (told by counts in CELLS cells). A line is compared with the NEIGHBOURS before it in each key; in keys of more lines, all
@@ -141,7 +141,7 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, similarity:
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
-    found = written(_measured(docs, similarity, min_words).where(F.col("words") >= min_words), "lines")
+    found = written(_measured(docs, similarity, min_words).where((F.col("words") >= min_words) | (F.col("chars") >= MIN_CHARS)), "lines")
     first = F.min(F.struct("doc_id", "line", "th")).alias("first")
     groups = written(found.groupBy("lh").agg(first, F.first("words").alias("words"), F.first("top").alias("top"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.count(F.lit(1)).alias("n")), "groups")
     roots = components(_links(docs, groups, similarity))

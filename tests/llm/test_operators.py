@@ -319,6 +319,13 @@ def test_line_dedup_is_exact(spark, monkeypatch):
     assert set(found[found.n_dropped == 0].doc_id) == {k for k in range(len(texts)) if top(k) == k}
 
 
+def test_short_lines(spark):
+    """Equal lines of few words, or without spaces, are found too."""
+    rows = [(k, f"All rights reserved.\n{line}") for k, line in enumerate(("一二三四五六七八九十", "一二三四五六七八九十", "own line"))]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: rows[0][1], 1: "", 2: "own line"}
+
+
 def test_extract(spark):
     rng = random.Random(123)
     pages = [html_blocks.page_maker(rng) for _ in range(80)]
