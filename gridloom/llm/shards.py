@@ -35,7 +35,7 @@ def schedule(sizes: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, split_over: float = 0.5) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, split_over: float = 1.0) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot. split_over: the share of a shard's fair size from which a group is split."""
     spark = docs.sparkSession
     utf8 = F.encode(F.col("text"), "UTF-8")

@@ -89,6 +89,14 @@ def test_shards(spark, docs):
     assert shards.assign_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_keep_groups_whole(spark):
+    """A group between half and one fair share stays together."""
+    rows = spark.createDataFrame([(k, prose(15, k)) for k in range(400)] + [(k, "same text") for k in range(400, 800)], "doc_id long, text string")
+    found = frame(shards.assign_shards(rows, 8))
+    share = found[found.doc_id >= 400]["size"].sum() / (found["size"].sum() / 8)
+    assert 0.5 < share < 1 and found[found.doc_id >= 400].shard.nunique() == 1
+
+
 def test_packing(docs):
     found = frame(packing.pack(docs, TOKENIZER))
     packing.check_packing(found)
