@@ -7,8 +7,10 @@ words or shingles speaks of them up to that chance.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -123,21 +125,36 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none, as in tests."""
+    """A fresh path in the folder that driver and executors share. Only a local session, whose executors are the driver, may name none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.get("dir") or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="gridloom-"))
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 _OWN: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows, written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes written tables that nothing will read any more, and lets Spark's cleaner remove the shuffle files of finished queries."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df).rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import forget, written
 
 FILTER_BUCKETS = 1 << 18
 
@@ -22,8 +22,10 @@ def components(links: DataFrame) -> DataFrame:
         least = written(labels.join(up, "root", "left").select("node", "root", F.coalesce("up", "root").alias("up")), "up")
         new = least.join(near, least.node == near.a, "left").select("node", F.col("root").alias("old"), F.least("root", "up", "near").alias("root"))
         new = written(new, "labels")
+        forget(least)
         labels = new.select("node", "root")
         if new.where("root < old").isEmpty():
+            forget(both)
             return labels
 
 

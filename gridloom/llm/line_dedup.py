@@ -1,119 +1,84 @@
-"""Line dedup in DataFrame operations only: like lines are found by an exact prefix filter over words and verified by edit similarity;
-one occurrence of each connected group stays.
-
-A line is normalised by lower-casing and reading every run of other characters than letters as a space. Equal normalised lines are one
-group from the start (counted before anything is joined), if they have MIN_WORDS words or MIN_CHARS letters. Lines of MIN_WORDS words at least are compared by edit similarity over words,
-1 - edits / words of the longer line >= SIMILARITY. Of n words at most a fifth may then be missing in the other line. So if distinct words
-are put into one global order, like lines share two of the first n / 5 + 2: keys are the rare ones of these words and the pairs of
-frequent ones (told by counts in CELLS cells). A line is compared with the NEIGHBOURS before it in each key; in keys of more lines, all
-pairs that are then in different components are compared too, so components are those of all pairs. 128 bits of a line's words rule
-out most pairs unread. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
+"""Line dedup in DataFrame operations only: like lines are found by joining on pigeonhole blocks of their words and verified by edit
+similarity; one occurrence of each connected group stays.
+
+A line is normalised by lower-casing and reading every run of other characters than letters, marks and digits as a space. Equal
+normalised lines are one group from the start (counted before anything is joined), if they have MIN_WORDS words or MIN_CHARS characters.
+Lines of MIN_WORDS words at least are compared by edit similarity over words, 1 - edits / words of the longer line >= SIMILARITY.
+
+1. Blocks. A line of n words has n + 2 blocks of three consecutive words (two empty ones stand at either end). An edit touches three
+   blocks at most, so of a like line at most floor(0.6 n) blocks are missing: by the pigeonhole principle, if blocks are put into one
+   global order, like lines share one of the first floor(0.6 n) + 1 of each. The order is by hash, blocks of few letters last. These
+   are the keys of a line, all of up to 18 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are common, so
+   that none of the first KEYS is one has a chance of 0.6^KEYS, 0.2 %, at the limit of similarity, and less above it.
+2. Keys are counted before rows are joined. Two lines with a key are a pair; in a key of more lines each is compared with the least of
+   them, and then only lines of different components with each other. Keys of over HOT lines (a passage that many lines hold) are cut
+   further by a second pigeonhole: of n words at most floor(0.2 n) are missing in a like line, so like lines share one of the first
+   floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency within the key.
+3. 128 bits of a line's words rule out most pairs unread; the others' edit distance is computed over words, each as a code of 19 bits.
+4. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
+
+SimHash as the source of keys was measured and left: at a similarity of 0.8 two words' sketches of 64 bits differ in 13 bits, so
+that blocks which pigeonhole leaves equal would have 3 to 4 bits. The pigeonhole join stays, over blocks of words.
 
 Defined cases: null and empty texts stay as they are; a document that loses all its lines has an empty text; rows with a null doc_id
 are left alone; repeated rows (equal doc_id and text) count as one occurrence, so they keep the same lines; an empty table gives an
-empty result; other columns are kept as they are.
+empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NEAR, SHINGLE, written
+from gridloom.llm.common import NEAR, SHINGLE, forget, written
 from gridloom.llm.graph import components, maybe_in
 
 MIN_WORDS = SHINGLE
 SIMILARITY = NEAR
-BITS = 48
-HASH_BITS = 56
 MIN_CHARS = 6
-PREFIX = 2
-CELLS = 1 << 22
-NEIGHBOURS = 24
+BLOCK = 3
+KEYS = 12
+SHORT = 3
+HOT = 32
+ROUNDS, FEW = 3, 1_000
+PLACE = (1 << 24) - 1
+WORD = (1 << 40) - 1
+_TOP = -(1 << 63)
 
 
-def words_of(line: Column) -> Column:
-    """The words of the normalised line."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "), " "), "")
+def normalised(text: Column) -> Column:
+    """Lower case; other characters than letters, marks and digits as one space, line ends as they are."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\n]+", " ")
 
 
-def with_simhash(words: DataFrame, keys: list[str], number: str = "w", lane: int = 16) -> DataFrame:
-    """One row for each key: sim (the bits that more than half of its numbers have), anchor (the largest number), words (how many).
-    Rows, not arrays, so that the additions are compiled. Sum k counts the bits k, k + lane, ... in lanes of `lane` bits of one long,
-    so a key may have 2^lane - 1 numbers."""
-    ones = F.lit(sum(1 << (lane * j) for j in range(BITS // lane)))
-    counts = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("words"), F.max(number).alias("anchor"), *[F.sum(F.shiftrightunsigned(number, k).bitwiseAND(ones)).alias(f"c{k}") for k in range(lane)])
-    # Adding 2^(lane - 1) - 1 - n / 2 to a lane sets its upper bit just where more than half of n numbers have the bit.
-    half = (F.lit((1 << (lane - 1)) - 1) - F.floor(F.col("words") / 2)) * ones
-    sim = _or([F.shiftleft(F.shiftrightunsigned(F.col(f"c{k}") + half, lane - 1).bitwiseAND(ones), k) for k in range(lane)])
-    return counts.select(*keys, "words", sim.alias("sim"), "anchor")
+def _hashes(line: Column) -> Column:
+    """The words of a normalised line, as hashes; the last bit tells those of over SHORT letters."""
+    return F.transform(F.split(F.trim(line), " "), lambda x: F.xxhash64(x).bitwiseAND(F.lit(~1).cast("long")).bitwiseOR((F.length(x) > SHORT).cast("long")))
 
 
-def _or(bits: list[Column]) -> Column:
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def _most(n: Column, share: float) -> Column:
+    """The largest whole number of that share of n."""
+    return F.floor(n * F.lit(share) + 1e-9).cast("int")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line, raw."""
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("raw")).select("doc_id", "th", F.posexplode_outer("raw").alias("line", "raw"))
+def _keys(n: Column, similarity: float) -> Column:
+    """The first blocks of h in the global order, those that begin with words of over SHORT letters first. A block is three words from
+    a place on; after the last word comes the first. A word's place stands in the last 24 bits of what is sorted."""
+    rank = lambda x: F.when(x.bitwiseAND(F.lit(1)) == 1, x.bitwiseOR(F.lit(_TOP))).otherwise(x.bitwiseAND(F.lit(~_TOP)))
+    place = F.transform("h", lambda x, i: rank(x).bitwiseAND(F.lit(~PLACE).cast("long")).bitwiseOR(i.cast("long")))
+    take = F.least(F.lit(KEYS), _most(n, BLOCK * (1 - similarity)) + 1)
+    at = lambda x, k: F.get(F.col("h"), F.pmod(x.bitwiseAND(F.lit(PLACE)).cast("int") + k, n))
+    return F.array_distinct(F.transform(F.slice(F.sort_array(place), F.lit(1), take), lambda x: F.xxhash64(*[at(x, k) for k in range(BLOCK)])))
 
 
 def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """doc_id, th, line, lh (hash of the normalised line), words, chars (letters), top (the first distinct words in the global order,
-    as hashes: as many as may be missing in a like line, and PREFIX more), s0 and s1 (128 bits, of which each word sets one)."""
-    # A word's length in the upper bits: the order is by falling length, then hash.
-    number = lambda w: F.shiftleft(F.least(F.length(w), F.lit(127)).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    rows = lines(docs).select("doc_id", "th", "line", words_of(F.col("raw")).alias("w")).withColumn("words", F.size("w"))
-    rows = rows.withColumn("all", F.when(F.col("words") >= min_words, F.array_distinct(F.transform("w", number))))
-    top = F.transform(F.slice(F.sort_array("all", asc=False), 1, _missing(similarity) + PREFIX), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    bits = [F.aggregate("all", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == F.lit(64 * k), a.bitwiseOR(one(x))).otherwise(a)).alias(f"s{k}") for k in range(2)]
-    return rows.select("doc_id", "th", "line", F.xxhash64("w").alias("lh"), "words", F.length(F.array_join("w", "")).alias("chars"), top.alias("top"), *bits)
-
-
-def _missing(similarity: float) -> Column:
-    """How many words of a line may be missing in a like one: longer - edits words match, and so n - 0.8 longer <= 0.2 n miss."""
-    return F.floor(F.col("words") * F.lit(1 - similarity) + 1e-9).cast("int")
-
-
-def _keyed(groups: DataFrame, similarity: float) -> DataFrame:
-    """lh, words, s0, s1, key: like lines share a key. They share the PREFIX first of their common words in both tops (prefix filter): so a rare
-    word, or else two frequent ones, which are keys as a pair. Lines of so few distinct words that they may share one only have keys of their own."""
-    cell = F.col("x").bitwiseAND(F.lit(CELLS - 1))
-    counts = groups.select(F.explode("top").alias("x")).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS)
-    bits = [0] * (CELLS // 64)
-    for word, value in counts.groupBy(F.shiftright("c", 6)).agg(F.expr("bit_or(shiftleft(1L, c & 63))")).collect():
-        bits[word] = value
-    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")
-    frequent = lambda x: F.getbit(F.get(table, F.shiftright(x.bitwiseAND(F.lit(CELLS - 1)), 6)), x.bitwiseAND(F.lit(63))) == 1
-    split = groups.where("top is not null").select("lh", "words", "s0", "s1", "top", F.filter("top", frequent).alias("often"))
-    rare = F.transform(F.array_except("top", "often"), lambda x: F.xxhash64(F.lit(0), x))
-    pairs = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.xxhash64(F.lit(1), F.least(x, y), F.greatest(x, y)))))
-    few = F.when(F.size("top") <= _missing(similarity) + 1, F.transform("top", lambda x: F.xxhash64(F.lit(2), x))).otherwise(F.array().cast("array<long>"))
-    return split.select("lh", "words", "s0", "s1", F.explode(F.concat(rare, pairs, few)).alias("key"))
-
-
-def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """a, b: verified pairs of line hashes, enough to connect all that are alike. Each line is compared with the NEIGHBOURS before it in
-    each of its keys, so in a key of few lines all are; in a larger one, all pairs that these leave in different components are compared too."""
-    order = Window.partitionBy("key").orderBy("lh")
-    beside = _keyed(groups, similarity).withColumn("before", F.collect_list(F.struct("lh", "words", "s0", "s1")).over(order.rowsBetween(-NEIGHBOURS, -1)))
-    near = lambda x: _may(similarity, F.col("words"), F.col("s0"), F.col("s1"), x["words"], x["s0"], x["s1"])
-    paired = beside.where(F.size("before") > 0).select("lh", F.explode(F.filter("before", near)).alias("to"))
-    pairs = written(paired.select(F.col("to.lh").alias("a"), F.col("lh").alias("b")).distinct(), "pairs")
-    found = written(_verified(docs, groups, pairs, similarity), "alike")
-    keyed = _keyed(groups, similarity)
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("key")
-    roots = components(found)
-    named = written(keyed.join(large, "key").join(roots, F.col("lh") == roots.node, "left").select("key", "lh", "words", "s0", "s1", F.coalesce("root", "lh").alias("root")), "large")
-    other = named.select("key", *[F.col(c).alias(f"o_{c}") for c in ("lh", "words", "s0", "s1", "root")])
-    may = _may(similarity, *[F.col(f"{o}{c}") for o in ("", "o_") for c in ("words", "s0", "s1")])
-    rest = named.join(other, "key").where((F.col("lh") < F.col("o_lh")) & (F.col("root") != F.col("o_root")) & may)
-    rest = written(rest.select(F.col("lh").alias("a"), F.col("o_lh").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    return found.unionByName(_verified(docs, groups, rest, similarity))
+    """doc_id, th, line, lh (hash of the normalised line), words, keys: the lines that count."""
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), normalised(F.col("text")).alias("text"))
+    # What is exploded is computed once a line; so is h, which the keys' expressions read many times.
+    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(_hashes(x).alias("h"), F.length(F.replace(x, F.lit(" "))).alias("chars")))
+    rows = own.select("doc_id", "th", F.posexplode(parts).alias("line", "x")).select("doc_id", "th", "line", "x.h", "x.chars", F.size("x.h").alias("words"))
+    rows = rows.where((F.col("chars") > 0) & ((F.col("words") >= min_words) | (F.col("chars") >= MIN_CHARS)))
+    return rows.select("doc_id", "th", "line", F.xxhash64("h").alias("lh"), "words", F.when(F.col("words") >= min_words, _keys(F.col("words"), similarity)).alias("keys"))
 
 
 def _may(similarity: float, n: Column, a: Column, b: Column, m: Column, c: Column, d: Column) -> Column:
@@ -123,54 +88,141 @@ def _may(similarity: float, n: Column, a: Column, b: Column, m: Column, c: Colum
     return (lost(a, b, c, d) <= most(n)) & (lost(c, d, a, b) <= most(m))
 
 
-def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _codes(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """lh, words, s0 and s1 (128 bits, of which each word sets one), code (a character for each word) of the wanted line hashes."""
+    places = groups.join(wanted, "lh", "left_semi").select("lh", "first.doc_id", "first.line", "first.th")
+    places = written(places.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("line", "lh"))).alias("at")), "places")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    own = maybe_in(own, "doc_id", places).withColumn("th", F.xxhash64("text")).join(places, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    picked = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.try_element_at(F.col("at"), i).alias("lh"), x.alias("line"))), lambda x: x["lh"].isNotNull())
+    rows = own.select(F.explode(F.transform(picked, lambda x: F.struct(x["lh"].alias("lh"), _hashes(normalised(x["line"])).alias("h")))).alias("x")).select("x.lh", "x.h")
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(63)).cast("int"))
+    bits = [F.aggregate("h", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(2)) == F.lit(2 * k), a.bitwiseOR(one(x))).otherwise(a)).alias(f"s{k}") for k in range(2)]
+    # Four bytes that are one character in UTF-8: F1 or F3, then three of six bits.
+    spread = lambda x: F.lit(0xF1808080).bitwiseOR(x.bitwiseAND(F.lit(0x023F3F3F)))
+    code = F.unhex(F.array_join(F.transform("h", lambda x: F.hex(spread(F.shiftrightunsigned(x, 7)))), "")).cast("string")
+    return written(rows.select("lh", F.size("h").alias("words"), *bits, code.alias("code")), "codes")
+
+
+def _alike(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines are alike."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
-    places = written(groups.join(wanted, "lh", "left_semi").select("lh", "first.doc_id", "first.line", "first.th"), "places")
-    # A word as one character outside the surrogates: edits over words are then edits over characters.
-    code = F.decode(F.unhex(F.array_join(F.transform(words_of(F.col("raw")), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(35_000)) + 0x4E00)), "")), "UTF-16BE")
-    texts = lines(maybe_in(docs, "doc_id", places)).join(places, ["doc_id", "th", "line"]).select("lh", code.alias("code")).dropDuplicates(["lh"])
-    texts = written(texts, "codes")
-    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("code").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("code").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int")
+    side = lambda c, *cols: codes.select(F.col("lh").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
+    sketch = ("words", "s0", "s1")
+    near = pairs.join(side("a", *sketch), "a").join(side("b", *sketch), "b").where(_may(similarity, *[F.col(f"{c}_{x}") for c in "ab" for x in sketch]))
+    near = written(near.select("a", "b", _most(F.greatest("a_words", "b_words"), 1 - similarity).alias("most")), "near")
     # Few edits are looked for first: that band is narrow.
-    alike = (F.abs(F.length("x") - F.length("y")) <= most) & ((F.expr("levenshtein(x, y, 16)").between(0, most)) | ((most > 16) & (F.levenshtein("x", "y") <= most)))
-    return both.where(alike).select("a", "b")
+    alike = F.expr("levenshtein(a_code, b_code, 8) between 0 and most or (most > 8 and levenshtein(a_code, b_code, most) >= 0)")
+    found = written(near.join(side("a", "code"), "a").join(side("b", "code"), "b").where(alike).select("a", "b"), "alike")
+    forget(near)
+    return found
+
+
+def _pairs(members: DataFrame, key: list[str], also=None) -> DataFrame:
+    """a, b: lines of a key that lie in different components. Those of a key's largest component are only compared with others."""
+    counts = members.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("roots"))
+    one = members.join(counts.where("roots > 1").drop("roots"), key).where("root <> main").select(*key, *[F.col(c).alias(f"one_{c}") for c in members.columns if c not in key], "main")
+    other = members.select(*key, *[F.col(c).alias(f"other_{c}") for c in members.columns if c not in key])
+    # Of two lines outside the main component each meets the other, so one way is enough.
+    apart = F.expr("one_root <> other_root and (other_root = main or one_lh < other_lh)")
+    return one.join(other, key).where(apart if also is None else apart & also).select(F.least("one_lh", "other_lh").alias("a"), F.greatest("one_lh", "other_lh").alias("b"))
+
+
+def _leads(named: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
+    """a, lh, words, s0, s1, lead: the lines of hot keys. Hot keys with one least line a (mostly those of one passage) are one
+    group. lead: the line's first words, by rising frequency in the group."""
+    hot = named.where(F.col("n") > HOT).select("a", "lh").distinct()
+    word = F.explode(F.transform(F.array_distinct(F.filter(F.split("code", ""), lambda x: x != "")), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD)))).alias("word")
+    words = written(hot.join(codes, "lh").select("a", "lh", "words", "s0", "s1", word), "words")
+    often = words.groupBy("a", "word").agg(F.count(F.lit(1)).alias("m"))
+    # Frequency and word in one number, so that they are sorted as one.
+    by = F.sort_array(F.collect_list(F.shiftleft("m", 40).bitwiseOR(F.col("word")))).alias("by")
+    by = words.join(often, ["a", "word"]).groupBy("a", "lh").agg(F.first("words").alias("words"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), by)
+    lead = F.transform(F.slice("by", F.lit(1), _most(F.col("words"), 1 - similarity) + 1), lambda x: x.bitwiseAND(F.lit(WORD)))
+    leads = written(by.select("a", "lh", "words", "s0", "s1", lead.alias("lead")), "leads")
+    forget(words)
+    return leads
+
+
+def _star(cut: DataFrame, k: int, also) -> DataFrame:
+    """a, b: of each key one line of the largest component, the k-th choice, with the lines of other components."""
+    own = F.min(F.struct(F.xxhash64("lh", F.lit(k)).alias("by"), "lh", "root", "words", "s0", "s1")).alias("hub")
+    hubs = cut.groupBy("a", "word", "root").agg(F.count(F.lit(1)).alias("n"), own).groupBy("a", "word").agg(F.max_by("hub", "n").alias("hub"), F.count(F.lit(1)).alias("roots"))
+    hubs = hubs.where("roots > 1").select("a", "word", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in ("lh", "root", "words", "s0", "s1")])
+    one = cut.select("a", "word", *[F.col(c).alias(f"one_{c}") for c in ("lh", "root", "words", "s0", "s1")])
+    return one.join(hubs, ["a", "word"]).where((F.col("one_root") != F.col("other_root")) & also).select(F.least("one_lh", "other_lh").alias("a"), F.greatest("one_lh", "other_lh").alias("b")).distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with root, the component of lh."""
+    return rows.join(roots.withColumnRenamed("node", "lh"), "lh", "left").withColumn("root", F.coalesce("root", "lh"))
+
+
+def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame | None:
+    """node, root: the components of like lines."""
+    keyed = groups.where("keys is not null").select("lh", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("a"), F.max("lh").alias("b")).where("n > 1"), "shared")
+    members = written(keyed.join(shared.where("n > 2").select("key", "n", "a"), "key"), "members")
+    pairs = shared.where("n = 2").select("a", "b").unionByName(members.where("lh <> a").select("a", F.col("lh").alias("b")))
+    pairs = written(pairs.distinct(), "pairs")
+    codes = _codes(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct())
+    links = _alike(pairs, codes, similarity)
+    roots = components(links)
+    named = _rooted(members, roots)
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    named = written(named.join(apart, "key", "left_semi"), "named")
+    leads = _leads(named, codes, similarity)
+    cut = written(leads.select("a", "lh", "words", "s0", "s1", F.explode("lead").alias("word")), "cut")
+    near = _may(similarity, *[F.col(f"{c}_{x}") for c in ("one", "other") for x in ("words", "s0", "s1")])
+    # Clouds of near copies come together round some of their lines; what that leaves apart is compared in full.
+    for k in range(ROUNDS):
+        star = _alike(_star(_rooted(cut, roots), k, near), codes, similarity)
+        links = links.unionByName(star)
+        roots = components(links)
+        if star.count() < FEW:
+            break
+    rest = _pairs(_rooted(named.where(F.col("n") <= HOT).select("key", "lh"), roots), ["key"]).unionByName(_pairs(_rooted(cut, roots), ["a", "word"], near))
+    rest = written(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = _alike(rest, codes, similarity)
+    roots = components(links.unionByName(more))
+    forget(shared, members, pairs, codes, named, leads, cut, rest, more)
+    return roots
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
-    found = written(_measured(docs, similarity, min_words).where((F.col("words") >= min_words) | (F.col("chars") >= MIN_CHARS)), "lines")
+    found = written(_measured(docs, similarity, min_words), "lines")
     first = F.min(F.struct("doc_id", "line", "th")).alias("first")
-    groups = written(found.groupBy("lh").agg(first, F.first("words").alias("words"), F.first("top").alias("top"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.count(F.lit(1)).alias("n")), "groups")
-    roots = components(_links(docs, groups, similarity))
+    groups = written(found.groupBy("lh").agg(first, F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "groups")
+    roots = _links(docs, groups, similarity)
     named = groups.join(roots, groups.lh == roots.node, "left").select("lh", "first", "n", "root")
     named = written(named.where("n > 1 or root is not null"), "named")
-    kept = written(named.where("root is not null").groupBy("root").agg(F.min("first").alias("kept")), "kept")
+    kept = named.where("root is not null").groupBy("root").agg(F.min("first").alias("kept"))
     keep = written(named.join(kept, "root", "left").select("lh", F.coalesce("kept", "first").alias("keep")), "keep")
     gone = found.select("doc_id", "th", "line", "lh").join(keep, "lh").where(F.struct("doc_id", "line", "th") != F.col("keep"))
-    return written(gone.groupBy("doc_id", "th").agg(F.collect_list("line").alias("drop")), "gone")
+    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
+    forget(found, groups, named, keep)
+    return gone
 
 
 def _left(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """All columns, _lines before, _left after: the lines that stay."""
-    gone = dropped_lines(docs, similarity, min_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th").withColumnRenamed("drop", "_drop")
-    rows = docs.join(gone, (F.col("doc_id").cast("long") == gone["_doc"]) & (F.xxhash64("text") == gone["_th"]), "left")
-    parts = F.split("text", "\n")
-    return rows.withColumn("_lines", F.size(parts)).withColumn("_left", F.when(F.col("_drop").isNull(), parts).otherwise(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i))))
+    """row (all columns), text, parts (its lines), drop, left (the lines that stay)."""
+    gone = dropped_lines(docs, similarity, min_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    rows = rows.join(gone, ["doc_id", "th"], "left").select("row", "drop", F.split("row.text", "\n").alias("parts"))
+    return rows.withColumn("left", F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("drop", i))))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped: a row for each document."""
     rows = _left(docs, similarity, min_words)
-    n = lambda c: F.coalesce(F.when(F.col("text").isNotNull(), c), F.lit(0)).cast("long")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n(F.col("_lines")).alias("n_lines"), n(F.col("_lines") - F.size("_left")).alias("n_dropped"), F.array_join("_left", "\n").alias("text"))
+    n = lambda c: F.coalesce(F.when(F.col("row.text").isNotNull(), c), F.lit(0)).cast("long")
+    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), n(F.size("parts")).alias("n_lines"), n(F.size("parts") - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("text"))
 
 
 def drop_repeated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the lines that stay, all columns of theirs; those that lost every line go. n_chars, if there, is kept true."""
-    rows = _left(docs, similarity, min_words).where("_drop is null or size(_left) > 0").withColumn("text", F.array_join("_left", "\n"))
+    rows = _left(docs, similarity, min_words).where("drop is null or size(left) > 0")
+    changed = {"text": F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("drop").isNull(), F.col("row.n_chars")).otherwise(F.length(changed["text"])).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

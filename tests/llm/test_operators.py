@@ -274,30 +274,41 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("lane", [16, 24])
-def test_simhash(spark, lane):
-    rng = random.Random(lane)
-    rows = [(k, rng.getrandbits(62)) for k, n in enumerate((1, 2, 7, 40, 300)) for _ in range(n)]
-    for r in line_dedup.with_simhash(spark.createDataFrame(rows, "x long, w long"), ["x"], lane=lane).collect():
-        own = [w for x, w in rows if x == r["x"]]
-        assert r["sim"] == sum(1 << k for k in range(line_dedup.BITS) if 2 * sum(w >> k & 1 for w in own) > len(own)) and r["anchor"] == max(own)
+def word_edits(x, y):
+    row = list(range(len(y) + 1))
+    for p, u in enumerate(x):
+        last, row = row, [p + 1]
+        for q, v in enumerate(y):
+            row.append(min(last[q] + (u != v), last[q + 1] + 1, row[q] + 1))
+    return row[-1]
 
 
 def test_line_dedup_recall(spark):
-    """One word of long lines is changed: most such pairs are found."""
-    rows = []
-    for k in range(150):
-        w = prose(30, 8000 + k).split()
-        rows.append((2 * k, " ".join(w)))
-        w[random.Random(k).randrange(30)] = "changed"
-        rows.append((2 * k + 1, " ".join(w)))
-    found = frame(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert found[found.doc_id % 2 == 0].n_dropped.sum() == 0 and found[found.doc_id % 2 == 1].n_dropped.mean() > 0.5
+    """Pairs by length and edits (other words, words that go, words that come), up to the limit: nearly all are found, in each cell."""
+    cells = [(n, e, kind) for n in (5, 10, 20, 30, 60, 120) for e in sorted({1, n // 10, n // 5} - {0}) for kind in ("change", "spread", "mixed")]
+    rows, where = [], {}
+    for c, (n, e, kind) in enumerate(cells):
+        for k in range(60):
+            rng = random.Random(1000 * c + k)
+            own = ["".join(rng.choices("abcdefghijklmnopqrs", k=rng.randint(2, 9))) for _ in range(n)]
+            w, places = list(own), list(range(0, n, max(1, n // e)))[:e] if kind == "spread" else rng.sample(range(n), e)
+            for i in sorted(places, reverse=True):
+                how = rng.randrange(3) if kind == "mixed" and n > 5 else 0
+                w[i : i + 1] = [["changed" + str(rng.random())[2:9]], [], [w[i], "new" + str(rng.randint(0, 99))]][how]
+            if len(w) < 5 or word_edits(own, w) > 0.2 * max(len(own), len(w)) + 1e-9:
+                continue
+            where.setdefault((n, e, kind), []).append(len(rows) + 1)
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(w))]
+    found = frame(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))).set_index("doc_id").n_dropped
+    recall = {cell: float(np.mean([found[d] for d in own])) for cell, own in where.items()}
+    assert sum(found[d] for d in range(0, len(rows), 2)) == 0 and len(recall) > 40
+    assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) > 0.995
 
 
 def test_line_dedup_is_exact(spark, monkeypatch):
-    """Against all pairs compared, around the threshold; few neighbours and frequent words, so that large keys are met."""
-    monkeypatch.setattr(line_dedup, "NEIGHBOURS", 3)
+    """Against all pairs compared, around the threshold; frequent words and few lines make a key hot, so that both pigeonholes are met."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    monkeypatch.setattr(line_dedup, "KEYS", 1000)
     rng, texts = random.Random(17), []
     for k in range(30):
         n = (5, 8, 14, 30, 60)[k % 5]
@@ -315,12 +326,7 @@ def test_line_dedup_is_exact(spark, monkeypatch):
 
     for j, y in enumerate(texts):
         for i, x in enumerate(texts[:j]):
-            row = list(range(len(y) + 1))
-            for p, u in enumerate(x):
-                last, row = row, [p + 1]
-                for q, v in enumerate(y):
-                    row.append(min(last[q] + (u != v), last[q + 1] + 1, row[q] + 1))
-            if x == y or (min(len(x), len(y)) >= 5 and row[-1] <= 0.2 * max(len(x), len(y)) + 1e-9):
+            if x == y or (min(len(x), len(y)) >= 5 and word_edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     found = frame(line_dedup.dedup_lines(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")))
