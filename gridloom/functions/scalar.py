@@ -58,8 +58,10 @@ def naive_frame(df: DataFrame, zone: str = "UTC") -> DataFrame:
 
 
 def clean_json(text: Column) -> Column:
-    """Control characters within strings are dropped, `12.` becomes `12.0`."""
-    return F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), r"(\d)\.(?=\s*[,\]}])", "$1.0")
+    """Control characters (but tabs and line ends, which may stand between values) are escaped, `12.` becomes `12.0`."""
+    codes = [k for k in (*range(32), 127) if k not in (9, 10, 13)]
+    escaped = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"\\u{k:04x}")), codes, text)
+    return F.regexp_replace(escaped, r"(\d)\.(?=\s*[,\]}])", "$1.0")
 
 
 # Lower bounds in kV of the colour buckets.

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from gridloom.config import KV_BAND, MAX_PATH_EDGES
+from gridloom.config import COMPARISON_QUERIES, KV_BAND, MAX_PATH_EDGES
 from gridloom.functions.predicates import to_column
 from gridloom.operators import topology
 from gridloom.operators.network import Network
@@ -44,6 +44,17 @@ def diff_section(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, *cols, *[F.col(c) for c in b.columns if c not in keys and c not in common], presence.alias("presence"))
 
 
+def diff_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
+    """diff_section by `position` of the rows, for sections without key columns. A table has no order of its own, so positions are those
+    of the rows sorted by all columns. Such sections hold a case's settings, a few rows each, so one task may sort them."""
+
+    def numbered(df: DataFrame) -> DataFrame:
+        order = Window.orderBy(*[F.col(c).asc_nulls_first() for c in sorted(df.columns)])
+        return df.withColumn("position", F.row_number().over(order) - 1)
+
+    return diff_section(numbered(a), numbered(b), ["position"])
+
+
 class Comparison:
     def __init__(self, one: Network, two: Network):
         self.one, self.two = one, two
@@ -57,8 +68,7 @@ class Comparison:
         out: dict = {"removed_equip_types": sorted(set(one.sections) - set(two.sections)), "added_equip_types": sorted(set(two.sections) - set(one.sections))}
         for name in sorted(set(one.sections) & set(two.sections)):
             keys = [k for k in section(name).id_cols if k in one[name].columns and k in two[name].columns]
-            if keys:
-                out[name] = diff_section(one[name], two[name], keys)
+            out[name] = diff_section(one[name], two[name], keys) if keys else diff_by_position(one[name], two[name])
         out["bus_num_changes"] = self.renumbered()
         return out
 
@@ -68,13 +78,14 @@ class Comparison:
         e1, e2 = (topology.canonical(n.edges(mode).select(F.col("src").alias("x"), F.col("dst").alias("y"))) for n in (self.one, self.two))
         n1, n2 = (e.select(F.explode(F.array("a", "b")).alias("node")).union(n["bus"].select(topology.bus_node("ibus"))).distinct() for n, e in ((self.one, e1), (self.two, e2)))
         removed, added = edge_changes(e1, e2)
+        labels = bus_labels([n["bus"] for n in (self.one, self.two)])
         return {
             "removed_nodes": n1.join(n2, "node", "left_anti"),
             "added_nodes": n2.join(n1, "node", "left_anti"),
             "removed_edges": removed,
             "added_edges": added,
-            "path_sectionalizations": alternate_paths(removed, e2, n1, n2, most),
-            "path_bypasses": alternate_paths(added, e1, n2, n1, most),
+            "path_sectionalizations": named_paths(alternate_paths(removed, e2, n1, n2, most), labels),
+            "path_bypasses": named_paths(alternate_paths(added, e1, n2, n1, most), labels),
         }
 
     def kv_buses(self, low: float = KV_BAND[0], high: float = KV_BAND[1]) -> DataFrame:
@@ -82,7 +93,7 @@ class Comparison:
         used = [n[s].select("ibus") for n in (self.one, self.two) for s in ("generator", "load") if s in n]
         return kv_buses(diff_section(self.one["bus"], self.two["bus"], ["ibus"]), used, low, high)
 
-    def query(self, queries: dict[str, str | Column], low: float = KV_BAND[0], high: float = KV_BAND[1]) -> dict[str, DataFrame]:
+    def query(self, queries: dict[str, str | Column] = COMPARISON_QUERIES, low: float = KV_BAND[0], high: float = KV_BAND[1]) -> dict[str, DataFrame]:
         """The diffs narrowed to the buses of kv_buses, by key columns, and to each section's own filter."""
         keep, out = self.kv_buses(low, high), {}
         for name, df in self.tables().items():
@@ -111,9 +122,8 @@ def alternate_paths(gone: DataFrame, other: DataFrame, own_nodes: DataFrame, oth
     new = other_nodes.join(own_nodes, "node", "left_anti")
     for c in "ab":
         gone = gone.join(other_nodes.select(F.col("node").alias(c)), c, "left_semi")
-    paths = topology.simple_paths(gone.select("a", "b"), other, new, most).withColumn("edges", F.size("path") - 1)
-    least = paths.groupBy("a", "b").agg(F.min("edges").alias("_least"))
-    return paths.join(least, ["a", "b"]).where("edges = _least").drop("_least")
+    paths = topology.simple_paths(gone.select("a", "b"), other, new, most, shortest=True).withColumn("edges", F.size("path") - 1)
+    return paths
 
 
 def kv_buses(bus_diff: DataFrame, used: list[DataFrame], low: float, high: float) -> DataFrame:
@@ -129,6 +139,29 @@ def bus_label(name: Column, ibus: Column, kv: Column, ide: Column) -> Column:
     return F.concat(F.trim(name), F.lit(" ("), ibus.cast("string"), F.lit(") ["), F.regexp_replace(F.format_string("%.6f", kv.cast("double")), r"\.?0+$", ""), F.lit(" kV, ide="), ide.cast("string"), F.lit("]"))
 
 
+def bus_labels(tables: list[DataFrame]) -> DataFrame:
+    """(node, label): each bus node's label; of buses in several tables the first table's."""
+    out = None
+    for k, bus in enumerate(tables):
+        cols = {c: F.col(c) if c in bus.columns else F.lit(None).cast("string") for c in ("name", "baskv", "ide")}
+        detail = F.concat_ws(", ", F.concat(F.regexp_replace(F.format_string("%.6f", cols["baskv"].cast("double")), r"\.?0+$", ""), F.lit(" kV")), F.concat(F.lit("ide="), cols["ide"].cast("string")))
+        name = F.coalesce(F.trim(cols["name"]), F.concat(F.lit("BUS "), F.col("ibus").cast("string")))
+        label = F.concat(name, F.lit(" ("), F.col("ibus").cast("string"), F.lit(")"), F.when(detail != "", F.concat(F.lit(" ["), detail, F.lit("]"))).otherwise(F.lit("")))
+        rows = bus.select(topology.bus_node("ibus").alias("node"), F.lit(k).alias("_k"), label.alias("label"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("node").agg(F.min_by("label", F.struct("_k", "label")).alias("label"))
+
+
+def named_paths(paths: DataFrame, labels: DataFrame) -> DataFrame:
+    """The paths with original_path_named (`label - label` of the edge that the path stands for, ends in their order) and path_named
+    (labels joined by ` -> `). Nodes without a label keep their own name. Each node is joined once, not each pair of nodes."""
+    rows = paths.select("a", "b", "path", F.posexplode("path").alias("_at", "node")).join(labels, "node", "left")
+    parts = F.sort_array(F.collect_list(F.struct("_at", F.coalesce("label", F.col("node").cast("string")).alias("label"))))
+    named = rows.groupBy("a", "b", "path").agg(F.transform(parts, lambda x: x["label"]).alias("_labels"))
+    ends = F.concat_ws(" - ", F.element_at("_labels", 1), F.element_at("_labels", -1))
+    return paths.join(named, ["a", "b", "path"]).withColumns({"original_path_named": ends, "path_named": F.array_join("_labels", " -> ")}).drop("_labels")
+
+
 def path_text(path: Column) -> Column:
     return F.array_join(path.cast("array<string>"), " -> ")
 

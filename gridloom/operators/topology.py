@@ -113,8 +113,9 @@ def hops(pairs: DataFrame, seeds: DataFrame, n: int, keys: list[str] | None = No
     return state.select(*keys, "node", "hop")
 
 
-def simple_paths(starts: DataFrame, pairs: DataFrame, inner: DataFrame, most: int) -> DataFrame:
-    """(a, b, path): simple paths of 2 to `most` edges from a to b whose inner nodes are all in inner[node].
+def simple_paths(starts: DataFrame, pairs: DataFrame, inner: DataFrame, most: int, shortest: bool = False) -> DataFrame:
+    """(a, b, path): simple paths of 2 to `most` edges from a to b whose inner nodes are all in inner[node]; with `shortest` a pair is
+    searched no further once it has a path, so that all its paths are of the least length.
 
     Only edges with an inner node can be on such a path; the condition is put into each step, so the search never leaves them."""
     ok = inner.select("node").distinct()
@@ -129,13 +130,41 @@ def simple_paths(starts: DataFrame, pairs: DataFrame, inner: DataFrame, most: in
         if k:
             done = step.where("last = b") if done is None else done.unionByName(step.where("last = b"))
         state = step.where("last <> b")
+        if shortest and k:
+            state = state.join(step.where("last = b").select("a", "b").distinct(), ["a", "b"], "left_anti")
         if step.isEmpty():
             break
     return (done if done is not None else state.where("false")).select("a", "b", "path")
 
 
-def shortest_hops(pairs: DataFrame, source: int, target: int, most: int = 20) -> int | None:
-    """The number of edges between two nodes, None if it is over `most`."""
-    spark = pairs.sparkSession
-    row = hops(pairs, spark.createDataFrame([(source,)], "node long"), most).where(F.col("node") == target).first()
-    return row["hop"] if row else None
+def shortest_path(pairs: DataFrame, source: int, target: int, most: int | None = None) -> list | None:
+    """The nodes of a shortest path, both ends included; None if there is none (of `most` edges). Of equal ones that through the least
+    nodes near the target. The search widens one edge at a time over written tables; only the path comes to the driver."""
+    if source == target:
+        return [source] if not pairs.where((F.col("a") == source) | (F.col("b") == source)).isEmpty() else None
+    both = stored(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")))
+    kind = dict(both.dtypes)["src"]
+    front = both.sparkSession.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(None).cast(kind).alias("before"))
+    steps = [stored(front)]
+    seen = steps[0].select("node")
+    while most is None or len(steps) <= most:
+        new = steps[-1].join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before")).join(seen, "node", "left_anti")
+        new = stored(new)
+        steps.append(new)
+        if not new.where(F.col("node") == target).isEmpty():
+            break
+        if new.isEmpty():
+            return None
+        seen = seen.union(new.select("node"))
+    else:
+        return None
+    path = [target]
+    for step in reversed(steps[1:]):
+        path.append(step.where(F.col("node") == path[-1]).first()["before"])
+    return path[::-1]
+
+
+def shortest_hops(pairs: DataFrame, source: int, target: int, most: int | None = None) -> int | None:
+    """The number of edges between two nodes, None if there is no path (of `most` edges)."""
+    path = shortest_path(pairs, source, target, most)
+    return None if path is None else len(path) - 1
