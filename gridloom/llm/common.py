@@ -8,8 +8,6 @@ words or shingles speaks of them up to that chance.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 import weakref
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.storage import shared_folder as folder
+
 SHINGLE = 5
 NEAR = 0.8
 CHUNK_BYTES = 1 << 20
@@ -124,17 +124,6 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
         i = j
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share. Only a local session, whose executors are the driver, may name none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _OWN.get("dir") or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="gridloom-"))
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-
-
-_OWN: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -157,6 +146,14 @@ def forget(*frames: DataFrame) -> None:
     frames[0].sparkSession._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import forget, written
+from gridloom.llm.common import forget, fresh, written
 
 FILTER_BUCKETS = 1 << 18
 
@@ -32,15 +32,17 @@ def components(links: DataFrame) -> DataFrame:
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key may be among keys[key]: a hashed filter of FILTER_BUCKETS bits, broadcast as a table of so many rows at most."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).cast("int")
-    there = keys.select(bucket(F.col(key)).alias("_bucket")).distinct()
-    return df.withColumn("_bucket", bucket(F.col(key))).join(F.broadcast(there), "_bucket", "left_semi").drop("_bucket")
+    own = fresh(df, "_bucket")
+    there = keys.select(bucket(F.col(key)).alias(own)).distinct()
+    return df.withColumn(own, bucket(F.col(key))).join(F.broadcast(there), own, "left_semi").drop(own)
 
 
 def without(df: DataFrame, key: str, removed: DataFrame) -> DataFrame:
     """The rows whose key isn't among removed[key]; rows that the hashed filter clears are not shuffled."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).cast("int")
-    there = removed.select(bucket(F.col(key)).alias("_bucket")).distinct()
-    marked = df.withColumn("_bucket", bucket(F.col(key)))
-    clear = marked.join(F.broadcast(there), "_bucket", "left_anti").drop("_bucket")
-    rest = marked.join(F.broadcast(there), "_bucket", "left_semi").drop("_bucket")
+    own = fresh(df, "_bucket")
+    there = removed.select(bucket(F.col(key)).alias(own)).distinct()
+    marked = df.withColumn(own, bucket(F.col(key)))
+    clear = marked.join(F.broadcast(there), own, "left_anti").drop(own)
+    rest = marked.join(F.broadcast(there), own, "left_semi").drop(own)
     return clear.unionByName(rest.join(removed.select(key).distinct(), key, "left_anti"))

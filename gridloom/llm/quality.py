@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import SPACES, Texts, chunks, shingles
+from gridloom.llm.common import SPACES, Texts, chunks, fresh, shingles
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST = 60, 4, 64, 0.2, 8
@@ -186,4 +186,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are predicted to be of class 1, all columns as they were."""
-    return with_score(docs, train(docs, labels, sample), "_quality").where(F.col("_quality") >= 0.5).drop("_quality")
+    own = fresh(docs, "_quality")
+    return with_score(docs, train(docs, labels, sample), own).where(F.col(own) >= 0.5).drop(own)
