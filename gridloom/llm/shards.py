@@ -4,7 +4,7 @@ Rows of one group (here: equal texts) go to one shard. A group's size is the sum
 schedules bounded, only groups of over 1/HEAVY of all bytes (so fewer than HEAVY of them, whatever the corpus) are scheduled one by
 one; the others are bundled by a hash of their key into at most BUNDLES bundles, which are scheduled like groups, so their groups
 stay together too. A group larger than a shard's fair share cannot stay whole while sizes stay near equal: with `split_over` its rows
-are dealt over as many parts as that takes, and its parts are scheduled as groups.
+are dealt over as many parts as that takes by their number, whatever their doc_ids, and its parts are scheduled as groups.
 
 Defined cases: a null text has no bytes, its size is 1 and its checksum 0; all null texts are one group, all empty texts another;
 repeated rows are rows of their own with slots of their own; an empty table gives an empty result; other columns are ignored.
@@ -45,7 +45,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, split_over: float = 1.0) ->
         F.coalesce(F.crc32(utf8), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.md5(utf8), F.lit("null")).alias("_group"),
     )
-    rows = written(rows)
+    # The number is written with the row, so it stays the same whatever is computed again.
+    rows = written(rows.withColumn("_number", F.monotonically_increasing_id()))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     if not count:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -57,7 +58,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, split_over: float = 1.0) ->
     light = groups.where(F.col("_bytes") * HEAVY <= F.lit(int(total))).groupBy(bundle.alias("k")).agg(F.sum("_bytes").alias("b"))
     part = F.lit(None).cast("string")
     for key, n in huge.items():
-        part = F.when(F.col("_group") == key, F.concat(F.lit(f"{key}/"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("string"))).otherwise(part)
+        part = F.when(F.col("_group") == key, F.concat(F.lit(f"{key}/"), F.pmod(F.xxhash64("_number"), F.lit(n)).cast("string"))).otherwise(part)
     sizes = [(r[1], r[0]) for r in groups.where((F.col("_bytes") * HEAVY > F.lit(int(total))) & (F.col("_bytes") <= whole)).select("_group", "_bytes").collect()]
     sizes += [(r[1], r[0]) for r in light.collect()]
     if huge:
@@ -66,4 +67,4 @@ def assign_shards(docs: DataFrame, shards: int = 8, split_over: float = 1.0) ->
     # The plan has at most HEAVY + BUNDLES + a few rows, and so have the heavy groups.
     unit = F.coalesce(part, F.when(F.col("_heavy"), F.col("_group")), bundle)
     placed = rows.join(F.broadcast(heavy), "_group", "left").withColumn("_unit", unit).join(F.broadcast(plan), "_unit")
-    return ranked(placed.select("doc_id", "size", "text_crc32", "shard", "_group"), ["shard"], ["doc_id", "_group"], count, "slot").drop("_group").withColumn("slot", F.col("slot").cast("long"))
+    return ranked(placed.select("doc_id", "size", "text_crc32", "shard", "_group", "_number"), ["shard"], ["doc_id", "_group", "_number"], count, "slot").drop("_group", "_number").withColumn("slot", F.col("slot").cast("long"))
