@@ -2,7 +2,7 @@
 
 Document frequencies of all words of all texts are counted in a table of 2^20 cells (a word falls into one cell, so a count is
 too high by about the mean of the cells at most; it is the same share of the corpus at any size). Terms whose inverse document
-frequency ln(N / df) lies in the band stay; they are made distinct and sorted, and hashed once for each lexicon: LEXICA random
+frequency ln(N / df), as a share of ln N, lies in the band stay, but those of a single document (misspelt and made-up words); they are made distinct and sorted, and hashed once for each lexicon: LEXICA random
 subsets of all words at each of the rates 1, 1/2, 1/4, ... A fingerprint holds the three rates nearest to one expected term a
 lexicon, so it tells degrees of likeness: the likeness of two fingerprints is, at the rates they share, the share of lexica with
 equal hashes among those in which at least one of the two has a term.
@@ -28,7 +28,9 @@ from gridloom.llm.common import NON_ALNUM, Texts, chunks, mix, scan_bytes
 CELLS = 1 << 20
 BLOCK = 1 << 15
 LEXICA = 32
-IDF_BAND = (4.0, 40.0)
+#: Shares of ln N: 0.37 is a document frequency of N^0.63 (1.8 % of 50,000 texts). Beside it, terms need LEAST_TEXTS texts.
+IDF_BAND = (0.37, 1.0)
+LEAST_TEXTS = 2
 BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 65_536
 _SALT = np.random.default_rng(11).integers(1, 2**63, LEXICA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,10 +71,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def banned(table: np.ndarray, rows: int, band: tuple[float, float] = IDF_BAND) -> np.ndarray:
-    """Cells whose words lie outside the band."""
-    idf = np.log(max(rows, 1) / np.maximum(table, 1))
-    # In a corpus so small that no word could reach the lower bound, the most frequent half per cent of what it could be counts.
-    return (idf < min(band[0], 0.75 * math.log(max(rows, 2)))) | (idf > band[1])
+    """Cells whose words lie outside the band. One rule at any size; a text of which nothing is left keeps all its words."""
+    share = np.log(max(rows, 1) / np.maximum(table, 1)) / math.log(max(rows, 2))
+    return (share < band[0]) | (share > band[1]) | (table < LEAST_TEXTS)
 
 
 def fingerprints(column: pa.Array, outside: np.ndarray) -> list[str]:
@@ -149,7 +150,8 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
                         yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(to), look, np.int32)), own["_k"], own["doc_id"], own["text"]], names=["_bucket", "_look", "_k", "doc_id", "text"])
 
     dealt = rows.select("_k", "doc_id", "text").mapInArrow(deal, "_bucket int, _look int, _k long, doc_id long, text string")
-    return dealt.repartition(len(starts), "_bucket").sortWithinPartitions("_bucket", "_look", "_k", "text"), len(starts)
+    # A bucket's number is its partition; its rows are streamed, so a larger one takes time but no memory.
+    return dealt.repartitionById(len(starts), F.col("_bucket")).sortWithinPartitions("_bucket", "_look", "_k", "text"), len(starts)
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
