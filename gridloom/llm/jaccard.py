@@ -16,8 +16,8 @@
 4. Links become components. 2^-64 is the chance that two different shingles count as one.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer than five words
-is one shingle of all of them; texts with equal sets are linked; repeated rows give a row each; a null doc_id is never the
-component_id unless all of its component have none; an empty table gives an empty result; other columns are ignored.
+is one shingle of all of them; texts with equal sets are linked; repeated rows give a row each; rows with a null doc_id are linked
+like others, and the component_id is null only if all of a component have none; keep_first keeps them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -323,9 +323,11 @@ def near_components(docs: DataFrame, t: float = NEAR, k: int = SHINGLE, max_elem
     info = written(shared_counts(docs, k), "info")
     has = F.col("n") > 0
     classes = written(info.where(has).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max(F.col("shared") >= F.ceil(F.col("n") * t - 1e-9)).alias("open")), "classes")
-    reps = written(classes.where("open and rep is not null").select(F.col("rep").alias("doc_id"), F.col("k1").alias("rep")), "reps")
+    reps = written(classes.where("open").select(F.col("rep").alias("doc_id"), F.col("k1").alias("rep")), "reps")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = maybe_in(own, "doc_id", reps).join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = maybe_in(own, "doc_id", reps.where("doc_id is not null")).join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A class of rows without doc_id only is found by its set among all rows without one.
+    texts = texts.unionByName(own.where("doc_id is null").select(*texts.columns))
     # Rows of one doc_id with other texts are no harm: what counts is the set, whose hash k1 is its name from here on.
     sets = _sets_table(texts, k).join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     sets = written(sets, "sets")
