@@ -9,7 +9,8 @@ its successor, if a separator stands before it. Pointer jumping from the start o
 itself, so a chain of n takes log n steps) marks what can be reached: these are the records, and a magic inside a payload is not among
 them. A file whose chain does not end at its end is damaged and raises an error.
 
-Files hold FILE_RECORDS records at most, so a task holds one bounded file at a time.
+Pages are written by classes of size, each class with as many records a file as keep it within FILE_BYTES; only a single page larger
+than that makes a larger file. So a task holds one file of bounded size at a time.
 
 Defined cases: a null html is an empty payload, a null url leaves its header out; control characters of a url are percent-encoded; of
 repeated rows with the smallest page_id of a payload, all are responses; a null page_id is kept, as larger than any; an empty table
@@ -30,13 +31,16 @@ from gridloom.llm.common import folder, written
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 MIN_REVISIT = 100
-FILE_RECORDS = 2_000
+FILE_BYTES = 128 << 20
+#: Bounds of the size classes, in bytes of a record: 64 kB, and four times the one before.
+CLASS_BYTES = [(64 << 10) << (2 * k) for k in range(8)]
+HEADER_BYTES = 4 << 10
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.M)
 
 
 def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """One column, value: each page's record without the separator at its end."""
+    """value: each page's record without the separator at its end; bytes: how large it is at most."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     many = rows.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null")
@@ -59,11 +63,21 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return rows.select(F.concat(header, F.lit("\r\n\r\n"), block).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_records: int = FILE_RECORDS) -> str:
-    records(pages, min_revisit).write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    most = F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n")) + F.coalesce(F.octet_length(url), F.lit(0)) + HEADER_BYTES
+    return rows.select(F.concat(header, F.lit("\r\n\r\n"), block).alias("value"), most.cast("long").alias("bytes"))
+
+
+def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> str:
+    """Archives under the path, a folder for each class of size that has records."""
+    rows = records(pages, min_revisit)
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url") * 3, F.lit(0)) + HEADER_BYTES
+    largest = pages.select(size.alias("s")).agg(F.max("s")).first()[0] or 0
+    low = -1
+    for k, high in enumerate([*CLASS_BYTES, 1 << 62]):
+        own = rows.where((F.col("bytes") > low) & (F.col("bytes") <= high))
+        if k == 0 or low < largest:
+            own.select("value").write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, file_bytes // high)).text(f"{path}/class={k}")
+        low = high
     return path
 
 
@@ -129,7 +143,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RESULT)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RESULT)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
