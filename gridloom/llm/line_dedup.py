@@ -5,15 +5,16 @@ A line is normalised by lower-casing and reading every run of other characters t
 normalised lines are one group from the start (counted before anything is joined), if they have MIN_WORDS words or MIN_CHARS characters.
 Lines of MIN_WORDS words at least are compared by edit similarity over words, 1 - edits / words of the longer line >= SIMILARITY.
 
-1. Blocks. A line of n words has n + 2 blocks of three consecutive words (two empty ones stand at either end). An edit touches three
+1. Blocks. A line of n words has n blocks of three consecutive words (after the last word comes the first). An edit touches three
    blocks at most, so of a like line at most floor(0.6 n) blocks are missing: by the pigeonhole principle, if blocks are put into one
-   global order, like lines share one of the first floor(0.6 n) + 1 of each. The order is by hash, blocks of few letters last. These
-   are the keys of a line, all of up to 18 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are common, so
-   that none of the first KEYS is one has a chance of 0.6^KEYS, 0.2 %, at the limit of similarity, and less above it.
-2. Keys are counted before rows are joined. Two lines with a key are a pair; in a key of more lines each is compared with the least of
-   them, and then only lines of different components with each other. Keys of over HOT lines (a passage that many lines hold) are cut
-   further by a second pigeonhole: of n words at most floor(0.2 n) are missing in a like line, so like lines share one of the first
-   floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency within the key.
+   global order (by a hash of the first word, short words last), like lines share SHARED = 2 of the first floor(0.6 n) + 2 of each. These are the keys of a line, all of
+   up to 20 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are common, so that fewer than two of the
+   first 14 are has a chance of 0.8 % at the limit of similarity with edits spread evenly, and less with others.
+2. Keys are counted before rows are joined; lines that share fewer than two of theirs with any others are done, and keys that only they
+   had. Of a key's lines each is compared with the least, and then only lines of different components with each other. Keys of over
+   HOT lines (a passage that many lines hold) are cut further by a second pigeonhole: of n words at most floor(0.2 n) are missing in a
+   like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency
+   among the key's lines. Clouds of near copies come together round some of their lines first.
 3. 128 bits of a line's words rule out most pairs unread; the others' edit distance is computed over words, each as a code of 19 bits.
 4. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
 
@@ -37,13 +38,12 @@ MIN_WORDS = SHINGLE
 SIMILARITY = NEAR
 MIN_CHARS = 6
 BLOCK = 3
-KEYS = 12
+KEYS, SHARED = 14, 2
 SHORT = 3
 HOT = 32
 ROUNDS, FEW = 3, 1_000
 PLACE = (1 << 24) - 1
 WORD = (1 << 40) - 1
-_TOP = -(1 << 63)
 
 
 def normalised(text: Column) -> Column:
@@ -62,11 +62,10 @@ def _most(n: Column, share: float) -> Column:
 
 
 def _keys(n: Column, similarity: float) -> Column:
-    """The first blocks of h in the global order, those that begin with words of over SHORT letters first. A block is three words from
-    a place on; after the last word comes the first. A word's place stands in the last 24 bits of what is sorted."""
-    rank = lambda x: F.when(x.bitwiseAND(F.lit(1)) == 1, x.bitwiseOR(F.lit(_TOP))).otherwise(x.bitwiseAND(F.lit(~_TOP)))
-    place = F.transform("h", lambda x, i: rank(x).bitwiseAND(F.lit(~PLACE).cast("long")).bitwiseOR(i.cast("long")))
-    take = F.least(F.lit(KEYS), _most(n, BLOCK * (1 - similarity)) + 1)
+    """The first blocks of h in the global order, that of their first words' hashes, those of over SHORT letters first. A block is three
+    words from a place on; after the last word comes the first. A word's place stands in the last 24 bits of what is sorted."""
+    place = F.transform("h", lambda x, i: F.shiftleft(x, 63).bitwiseOR(F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(~PLACE).cast("long"))).bitwiseOR(i.cast("long")))
+    take = F.least(F.lit(KEYS), _most(n, BLOCK * (1 - similarity)) + SHARED)
     at = lambda x, k: F.get(F.col("h"), F.pmod(x.bitwiseAND(F.lit(PLACE)).cast("int") + k, n))
     return F.array_distinct(F.transform(F.slice(F.sort_array(place), F.lit(1), take), lambda x: F.xxhash64(*[at(x, k) for k in range(BLOCK)])))
 
@@ -101,7 +100,9 @@ def _codes(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
     # Four bytes that are one character in UTF-8: F1 or F3, then three of six bits.
     spread = lambda x: F.lit(0xF1808080).bitwiseOR(x.bitwiseAND(F.lit(0x023F3F3F)))
     code = F.unhex(F.array_join(F.transform("h", lambda x: F.hex(spread(F.shiftrightunsigned(x, 7)))), "")).cast("string")
-    return written(rows.select("lh", F.size("h").alias("words"), *bits, code.alias("code")), "codes")
+    out = written(rows.select("lh", F.size("h").alias("words"), *bits, code.alias("code")), "codes")
+    forget(places)
+    return out
 
 
 def _alike(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
@@ -159,15 +160,24 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame | None:
     """node, root: the components of like lines."""
-    keyed = groups.where("keys is not null").select("lh", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("a"), F.max("lh").alias("b")).where("n > 1"), "shared")
-    members = written(keyed.join(shared.where("n > 2").select("key", "n", "a"), "key"), "members")
-    pairs = shared.where("n = 2").select("a", "b").unionByName(members.where("lh <> a").select("a", F.col("lh").alias("b")))
-    pairs = written(pairs.distinct(), "pairs")
+    # A line of few distinct blocks may share one only; any other shares SHARED with each line that is like it.
+    keyed = groups.where("keys is not null").select("lh", F.when((F.size("keys") >= KEYS) | (F.size("keys") - _most(F.col("words"), BLOCK * (1 - similarity)) >= SHARED), SHARED).otherwise(1).alias("need"), F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    members = written(keyed.join(shared, "key"), "members")
+    forget(shared)
+    for _ in range(2):
+        lines = members.groupBy("lh").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED).select("lh")
+        lines = members.where(F.col("need") < SHARED).select("lh").union(lines).distinct()
+        left = members.join(lines, "lh", "left_semi")
+        keys = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("a")).where("n > 1")
+        left = written(left.select("key", "lh", "need").join(keys, "key"), "members")
+        forget(members)
+        members = left
+    pairs = written(members.where("lh <> a").select("a", F.col("lh").alias("b")).distinct(), "pairs")
     codes = _codes(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct())
     links = _alike(pairs, codes, similarity)
     roots = components(links)
-    named = _rooted(members, roots)
+    named = _rooted(members.select("key", "n", "a", "lh"), roots)
     apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     named = written(named.join(apart, "key", "left_semi"), "named")
     leads = _leads(named, codes, similarity)
@@ -184,7 +194,7 @@ def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame |
     rest = written(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     more = _alike(rest, codes, similarity)
     roots = components(links.unionByName(more))
-    forget(shared, members, pairs, codes, named, leads, cut, rest, more)
+    forget(members, pairs, codes, named, leads, cut, rest, more)
     return roots
 
 
@@ -192,15 +202,18 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
     found = written(_measured(docs, similarity, min_words), "lines")
     first = F.min(F.struct("doc_id", "line", "th")).alias("first")
-    groups = written(found.groupBy("lh").agg(first, F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "groups")
+    groups = written(found.groupBy("lh").agg(first, F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n")), "groups")
+    # The keys are done with in groups; what is read last are places of lines.
+    small = written(found.select("doc_id", "th", "line", "lh"), "places")
+    forget(found)
     roots = _links(docs, groups, similarity)
     named = groups.join(roots, groups.lh == roots.node, "left").select("lh", "first", "n", "root")
     named = written(named.where("n > 1 or root is not null"), "named")
     kept = named.where("root is not null").groupBy("root").agg(F.min("first").alias("kept"))
     keep = written(named.join(kept, "root", "left").select("lh", F.coalesce("kept", "first").alias("keep")), "keep")
-    gone = found.select("doc_id", "th", "line", "lh").join(keep, "lh").where(F.struct("doc_id", "line", "th") != F.col("keep"))
+    gone = small.join(keep, "lh").where(F.struct("doc_id", "line", "th") != F.col("keep"))
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
-    forget(found, groups, named, keep)
+    forget(small, groups, named, keep)
     return gone
 
 
