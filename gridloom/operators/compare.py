@@ -55,6 +55,12 @@ def diff_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
     return diff_section(numbered(a), numbered(b), ["position"])
 
 
+def unpivoted(diff: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """A row for each key and field whose values differ: keys, field, model1, model2, delta. The fields must have types alike."""
+    one = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_model1").alias("model1"), F.col(f"{f}_model2").alias("model2"), F.col(f"{f}_delta").alias("delta")) for f in fields])
+    return diff.select(*keys, F.explode(one).alias("_x")).where(~F.col("_x.model1").eqNullSafe(F.col("_x.model2"))).select(*keys, "_x.*")
+
+
 class Comparison:
     def __init__(self, one: Network, two: Network):
         self.one, self.two = one, two

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.config import FLOWGATE_HOPS
 from gridloom.functions import scalar
 from gridloom.operators import compare, contingency, flowgate, inch, topology
 from gridloom.operators.network import Network
 from gridloom.plans.views import views, with_views
+from gridloom.sources import files, models, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,12 +22,12 @@ NATIVE_SQL = "(1,2,3,4,5,11,12,13)"
 FIELDS = ["name", "baskv", "area"]
 
 
-def query(name: str, uses: list[str], sql: str | None):
-    """Registers a query that is given the views it uses, as a dict."""
+def query(name: str, uses: list[str], sql: str | None, keep: tuple[str, ...] = ()):
+    """Registers a query that is given the views it uses, as a dict. keep: views that it reads more than once, which are written first."""
 
     def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(views(spark, sf_dir, *uses))
+            return f(views(spark, sf_dir, *uses, keep=keep))
 
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run
@@ -140,7 +143,7 @@ def _(v):
 _NEAR1 = _PAIRS + ", near as (select min(ibus) as ibus from bus union select y from both_ways where x=(select min(ibus) from bus))"
 
 
-@query("neighborhood_flat", ["bus", "acline", "transformer", "generator"], _NEAR1 + " select 'bus' as section, ibus, null as jbus, null as kbus, baskv, null as pt from bus where ibus in (from near) union all select 'acline', ibus, jbus, null, null, null from acline where ibus in (from near) or jbus in (from near) union all select 'transformer', ibus, jbus, kbus, null, null from transformer where ibus in (from near) or jbus in (from near) or kbus in (from near) union all select 'generator', ibus, null, null, null, pt from generator where ibus in (from near)")
+@query("neighborhood_flat", ["bus", "acline", "transformer", "generator"], _NEAR1 + " select 'bus' as section, ibus, null as jbus, null as kbus, baskv, null as pt from bus where ibus in (from near) union all select 'acline', ibus, jbus, null, null, null from acline where ibus in (from near) or jbus in (from near) union all select 'transformer', ibus, jbus, kbus, null, null from transformer where ibus in (from near) or jbus in (from near) or kbus in (from near) union all select 'generator', ibus, null, null, null, pt from generator where ibus in (from near)", keep=("acline", "transformer"))
 def _(v):
     seeds = v["bus"].agg(F.min("ibus").alias("ibus"))
     return _network(v).neighborhood(seeds, 1, "dataframe").select("section", "ibus", "jbus", "kbus", "baskv", "pt")
@@ -217,6 +220,44 @@ def _(v):
     return paths.select("a", "b", compare.path_text(F.col("path")).alias("path"), F.col("edges").cast("long").alias("edges"))
 
 
+_LABEL = "concat(trim({0}.name), ' (', {0}.ibus, ') [', regexp_replace(printf('%.6f', {0}.baskv), '\\.?0+$', ''), ' kV, ide=', {0}.ide, ']')"
+
+
+@query("path_labels", ["bus", "bus2", "acline"], f", known as (select ibus, {_LABEL.format('bus')} as label from bus union all select ibus, {_LABEL.format('bus2')} from bus2 where ibus not in (select ibus from bus)) select a.ibus, a.jbus, concat(i.label, ' - ', j.label) as original_path_named, concat(i.label, ' -> ', j.label) as path_named from acline a join known i on i.ibus=a.ibus join known j on j.ibus=a.jbus where a.rate1=49")
+def _(v):
+    node = topology.bus_node
+    paths = v["acline"].where("rate1 = 49").select(node("ibus").alias("a"), node("jbus").alias("b"), F.array(node("ibus"), node("jbus")).alias("path"))
+    named = compare.named_paths(paths, compare.bus_labels([v["bus"], v["bus2"]]))
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return named.select(number("a").alias("ibus"), number("b").alias("jbus"), "original_path_named", "path_named")
+
+
+@query("diff_by_position", ["area"], "select a.position, a.arname as arname_model1, b.arname as arname_model2, a.arname is distinct from b.arname as arname_delta, case when b.position is null then 'model1_only' else 'both' end as presence from (select arname, row_number() over (order by arname) - 1 as position from area) a left join (select arname, row_number() over (order by arname) - 1 as position from area where iarea <> 12) b on a.position=b.position")
+def _(v):
+    names = v["area"].select("iarea", "arname")
+    return compare.diff_by_position(names.select("arname"), names.where("iarea <> 12").select("arname")).withColumn("position", F.col("position").cast("long"))
+
+
+@query("shortest_path", ["bus", "acline"], ", both_ways as (select ibus as x, jbus as y from acline union select jbus, ibus from acline), walk as (select min(ibus) as node, 0 as hop from bus where ibus in (select x from both_ways) union select y, hop+1 from walk join both_ways on x=node where hop<6) select min(hop) as edges from walk where node = (select max(ibus) from bus where ibus in (select x from both_ways))", keep=("acline",))
+def _(v):
+    pairs = topology.flowgate_edges({"acline": v["acline"]})
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).agg(F.min("n"), F.max("n")).first()
+    edges = topology.shortest_hops(pairs, ends[0], ends[1])
+    return pairs.sparkSession.createDataFrame([(edges,)], "edges int")
+
+
+@query("intersect_sections", ["acline", "acline2"], "select ibus, jbus, ckt from acline intersect select ibus, jbus, ckt from acline2")
+def _(v):
+    keys = ["ibus", "jbus", "ckt"]
+    return compare.diff_section(v["acline"].select(*keys), v["acline2"].select(*keys), keys).where("presence = 'both'").select(*keys)
+
+
+@query("unpivot_diff", ["bus", "bus2"], "select ibus, 'vm' as field, a.vm as model1, b.vm as model2, b.vm-a.vm as delta from bus a join bus2 b using (ibus) where a.vm is distinct from b.vm union all select ibus, 'baskv', a.baskv, b.baskv, b.baskv-a.baskv from bus a join bus2 b using (ibus) where a.baskv is distinct from b.baskv")
+def _(v):
+    cols = ["ibus", "vm", "baskv"]
+    return compare.unpivoted(compare.diff_section(v["bus"].select(*cols), v["bus2"].select(*cols), ["ibus"]).where("presence = 'both'"), ["ibus"], ["vm", "baskv"])
+
+
 @query("bus_kv_filter", ["bus", "bus2", "generator", "load"], "select coalesce(a.ibus,b.ibus) as ibus from bus a full join bus2 b on a.ibus=b.ibus where (a.baskv between 138 and 10000 or b.baskv between 138 and 10000) and coalesce(a.ibus,b.ibus) in (select ibus from generator union select ibus from load)")
 def _(v):
     diff = compare.diff_section(v["bus"].select("ibus", "baskv"), v["bus2"].select("ibus", "baskv"), ["ibus"])
@@ -240,15 +281,18 @@ known as (select least(ibus,jbus) as i, greatest(ibus,jbus) as j, ckt from aclin
 tried as (select e.*, f.ibus as fb, t.ibus as tb, m.ibus as mb from elements e left join look f on f.n=trim(substring(from_token,1,12)) and f.k=try_cast(trim(substring(from_token,13,6)) as double) left join look t on t.n=trim(substring(to_token,1,12)) and t.k=try_cast(trim(substring(to_token,13,6)) as double) left join look m on m.n=trim(substring(bus_token,1,12)) and m.k=try_cast(trim(substring(bus_token,13,6)) as double)),
 judged as (select *, case when element_type='branch' and (fb is null or tb is null) then 'bus_not_found' when element_type='branch' and not exists (select 1 from known where i=least(fb,tb) and j=greatest(fb,tb) and ckt=ckt_id) then 'branch_not_found' when element_type='generator' and mb is null then 'bus_not_found' when element_type='generator' and not exists (select 1 from generator g where g.ibus=mb and g.machid=machine_id) then 'generator_not_found' end as reason from tried)"""
 _SEEDS = _RES + ", seeds as (select distinct flowgate_id, role, unnest([coalesce(fb,mb), tb]) as node from judged where reason is null)"
-_FNEAR = _SEEDS + ", pairs as (select ibus as x, jbus as y from acline union select ibus, jbus from transformer union select jbus, kbus from transformer where kbus<>0 union select ibus, kbus from transformer where kbus<>0), both_ways as (select x, y from pairs union select y, x from pairs), near as (select flowgate_id, role, node as ibus from seeds where node in (select x from both_ways) union select flowgate_id, role, y from seeds join both_ways on x=node)"
+_BOTH = ", pairs as (select ibus as x, jbus as y from acline union select ibus, jbus from transformer union select jbus, kbus from transformer where kbus<>0 union select ibus, kbus from transformer where kbus<>0), both_ways as (select x, y from pairs union select y, x from pairs)"
+_HOP0 = _SEEDS + _BOTH + ", near0 as (select flowgate_id, role, node as ibus from seeds where node is not null)"
+_HOPS = "".join(f", near{k + 1} as (select * from near{k} union select flowgate_id, role, y from near{k} join both_ways on x=ibus)" for k in range(FLOWGATE_HOPS))
+_FNEAR = _HOP0 + ", near as (select * from near0 union select flowgate_id, role, y from near0 join both_ways on x=ibus)"
 
 
 def _resolve(v):
     return flowgate.resolve(v["elements"], v["named_bus"], v["acline"], v["transformer"], v["generator"])
 
 
-def _near(v):
-    return flowgate.neighborhoods(_resolve(v)[0], v["acline"], v["transformer"], 1)
+def _near(v, hops=1):
+    return flowgate.neighborhoods(_resolve(v)[0], v["named_bus"], v["acline"], v["transformer"], hops)
 
 
 @query("flowgate_by_sc", ["elements"], "select flowgate_id, description, role, element_type from elements where sc='SCA'")
@@ -266,22 +310,31 @@ def _(v):
     return _resolve(v)[1]
 
 
-@query("flowgate_neighborhood", _FG, _FNEAR + " select flowgate_id, role, ibus from near")
+@query("flowgate_neighborhood", _FG, _HOP0 + _HOPS + f" select flowgate_id, role, ibus from near{FLOWGATE_HOPS}", keep=("acline", "transformer"))
 def _(v):
-    return _near(v)
+    return _near(v, FLOWGATE_HOPS)
 
 
-@query("flowgate_branches", _FG, _FNEAR + ", lines as (select ibus, jbus, ckt, 'line' as kind from acline union all select ibus, jbus, ckt, 'transformer_2w' from transformer where kbus=0) select flowgate_id, role, kind as equipment_type, i.name as from_name, i.baskv as from_volt, i.area as from_area, j.name as to_name, j.baskv as to_volt, j.area as to_area, ckt as ckt_id from (select distinct flowgate_id, role, l.* from near n join lines l on n.ibus=l.ibus or n.ibus=l.jbus) x left join named_bus i on i.ibus=x.ibus left join named_bus j on j.ibus=x.jbus where i.baskv between 160 and 765 or j.baskv between 160 and 765")
+# Reinforced seeds: buses that no line or transformer joins are near themselves only.
+@query("flowgate_isolated", ["named_bus", "acline", "transformer"], _BOTH + " select 1 as flowgate_id, 'monitor' as role, ibus from named_bus where ibus not in (select x from both_ways)", keep=("acline", "transformer"))
+def _(v):
+    pairs = topology.flowgate_edges(v)
+    joined = pairs.select(F.explode(F.array("a", "b")).alias("ibus")).distinct()
+    alone = v["named_bus"].join(joined, "ibus", "left_anti").select(F.lit(1).alias("flowgate_id"), F.lit("monitor").alias("role"), "ibus", F.lit(None).cast("long").alias("jbus"))
+    return flowgate.neighborhoods(alone, v["named_bus"], v["acline"], v["transformer"], 2)
+
+
+@query("flowgate_branches", _FG, _FNEAR + ", lines as (select ibus, jbus, ckt, 'line' as kind from acline union all select ibus, jbus, ckt, 'transformer_2w' from transformer where kbus=0) select flowgate_id, role, kind as equipment_type, i.name as from_name, i.baskv as from_volt, i.area as from_area, j.name as to_name, j.baskv as to_volt, j.area as to_area, ckt as ckt_id from (select distinct flowgate_id, role, l.* from near n join lines l on n.ibus=l.ibus or n.ibus=l.jbus) x left join named_bus i on i.ibus=x.ibus left join named_bus j on j.ibus=x.jbus where i.baskv between 160 and 765 or j.baskv between 160 and 765", keep=("acline", "transformer"))
 def _(v):
     return flowgate.branches(_near(v), v["named_bus"], v["acline"], v["transformer"])
 
 
-@query("flowgate_generators", _FG, _FNEAR + " select flowgate_id, role, b.name as bus_name, b.baskv as volt, b.area as area, machid as ckt_id from near n join generator g on g.ibus=n.ibus left join named_bus b on b.ibus=g.ibus where pt>=15")
+@query("flowgate_generators", _FG, _HOP0 + _HOPS + f" select flowgate_id, role, b.name as bus_name, b.baskv as volt, b.area as area, machid as ckt_id from near{FLOWGATE_HOPS} n join generator g on g.ibus=n.ibus left join named_bus b on b.ibus=g.ibus where pt>=15", keep=("acline", "transformer"))
 def _(v):
-    return flowgate.generators(_near(v), v["named_bus"], v["generator"])
+    return flowgate.generators(_near(v, FLOWGATE_HOPS), v["named_bus"], v["generator"])
 
 
-@query("flowgate_3w", _FG, _FNEAR + " select flowgate_id, role, cast(null as varchar) as transformer_name, i.name as w1_bus_name, i.baskv as w1_volt, j.name as w2_bus_name, j.baskv as w2_volt, k.name as w3_bus_name, k.baskv as w3_volt, ckt as ckt_id from (select distinct flowgate_id, role, t.* from near n join transformer t on t.kbus<>0 and (n.ibus=t.ibus or n.ibus=t.jbus or n.ibus=t.kbus)) x left join named_bus i on i.ibus=x.ibus left join named_bus j on j.ibus=x.jbus left join named_bus k on k.ibus=x.kbus where i.baskv between 160 and 765 or j.baskv between 160 and 765 or k.baskv between 160 and 765")
+@query("flowgate_3w", _FG, _FNEAR + " select flowgate_id, role, cast(null as varchar) as transformer_name, i.name as w1_bus_name, i.baskv as w1_volt, j.name as w2_bus_name, j.baskv as w2_volt, k.name as w3_bus_name, k.baskv as w3_volt, ckt as ckt_id from (select distinct flowgate_id, role, t.* from near n join transformer t on t.kbus<>0 and (n.ibus=t.ibus or n.ibus=t.jbus or n.ibus=t.kbus)) x left join named_bus i on i.ibus=x.ibus left join named_bus j on j.ibus=x.jbus left join named_bus k on k.ibus=x.kbus where i.baskv between 160 and 765 or j.baskv between 160 and 765 or k.baskv between 160 and 765", keep=("acline", "transformer"))
 def _(v):
     return flowgate.transformers_3w(_near(v), v["named_bus"], v["transformer"])
 
@@ -289,7 +342,8 @@ def _(v):
 # Contingencies.
 
 _CON = ["cons", "bus", "acline", "generator", "load", "area"]
-_REFS = r""", refs as (select distinct con_id, 'bus' as kind, unnest(regexp_extract_all(text, '(?i)\bBUS\s+(\d+)', 1)) as ref from cons union select con_id, 'branch', concat_ws('/', regexp_extract(m, '(\d+)\s+TO', 1), regexp_extract(m, 'TO\s+BUS\s+(\d+)', 1), regexp_extract(m, 'CKT\s+(\w+)', 1)) from (select con_id, unnest(regexp_extract_all(text, '(?i)FROM\s+BUS\s+\d+\s+TO\s+BUS\s+\d+\s+CKT\s+\w+')) as m from cons) union select con_id, 'generator', concat_ws('/', regexp_extract(m, 'BUS\s+(\d+)', 1), regexp_extract(m, 'MACHINE\s+(\w+)', 1)) from (select con_id, unnest(regexp_extract_all(text, '(?i)\s+MACHINE\s+\w+\s+FROM\s+BUS\s+\d+')) as m from cons))"""
+_REFS = """, spoken as (select con_id, string_split(line, ' ') as w from (select con_id, unnest(string_split(text, chr(10))) as line from cons)),
+refs as (select distinct con_id, 'bus' as kind, w[i + 1] as ref from (select con_id, w, unnest(range(1, len(w))) as i from spoken) where w[i] = 'BUS' union select con_id, 'branch', concat_ws('/', w[5], w[8], w[10]) from spoken where w[1] = 'OPEN' union select con_id, 'generator', concat_ws('/', w[6], w[3]) from spoken where w[2] = 'MACHINE')"""
 _JUDGED = _REFS + """, known as (select 'bus' as kind, cast(ibus as varchar) as ref from bus union select 'branch', concat_ws('/', ibus, jbus, ckt) from acline union select 'branch', concat_ws('/', jbus, ibus, ckt) from acline union select 'generator', concat_ws('/', ibus, machid) from generator),
 volts as (select con_id, min(baskv) as low, max(baskv) as high from refs join bus on kind='bus' and ref=cast(ibus as varchar) group by con_id), open as (select con_id, kind, ref from refs where (kind, ref) not in (select (kind, ref) from known))"""
 
@@ -338,6 +392,105 @@ def _(v):
     return contingency.first_of_each(v["cons"].select("con_id", F.regexp_replace("text", "[0-9]+", "").alias("text")), ["con_id"]).select("con_id", "text")
 
 
+# Sources and sinks: sections written in each file format, read back and cast.
+
+_CASE = ("@!IC, SBASE,REV,XFRRAT,NXFRAT,BASFRQ", "0, 100.00, 34, 0, 1, 60.00 / PSS(R)E-34.6", "ONE", "TWO", "GENERAL, THRSHZ=0.0001")
+
+
+def _text(v, lines: DataFrame, name: str) -> str:
+    """The lines (section, place, value), in order, as one file, as its format asks: a task writes it."""
+    from gridloom.storage import shared_folder
+
+    path = shared_folder(lines.sparkSession)
+    lines.coalesce(1).sortWithinPartitions("section", "place", "value").select("value").write.text(path)
+    return f"{path}/{name}" if name else path
+
+
+def _raw_case(v) -> Network:
+    spark = v["bus"].sparkSession
+    csv = lambda df, *cols: df.select(F.concat_ws(",", *[F.col(c).cast("string") if c not in ("name", "ckt", "machid") else F.concat(F.lit("'"), F.col(c), F.lit("'")) for c in cols]).alias("value"))
+    titles = lambda n, text: spark.createDataFrame([(n, 0, t) for t in text], "section int, place int, value string")
+    body = lambda n, df: df.select(F.lit(n).alias("section"), F.lit(1).alias("place"), "value")
+    head = spark.createDataFrame([(0, k, t) for k, t in enumerate(_CASE)], "section int, place int, value string")
+    parts = [head]
+    for n, title, names, df in ((1, "BUS", "I,NAME,BASKV,IDE,AREA,ZONE,VM", csv(v["bus"], "ibus", "name", "baskv", "ide", "area", "zone", "vm")), (3, "GENERATOR", "I,ID,PT", csv(v["generator"], "ibus", "machid", "pt")), (5, "BRANCH", "I,J,CKT,R,RATE1", csv(v["acline"], "ibus", "jbus", "ckt", "rpu", "rate1"))):
+        parts += [titles(n, [f"0 / END OF SECTION DATA, BEGIN {title} DATA"]), titles(n + 1, [f"@! {names}"]).withColumn("place", F.lit(0)), body(n + 1, df)]
+    parts.append(titles(7, ["0 / END OF BRANCH DATA", "Q"]))
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return models.network_of(models.read_long(spark, _text(v, lines, "")))
+
+
+_GRID = ["bus", "generator", "acline"]
+
+
+@query("source_raw_bus", _GRID, "select ibus, name, baskv, ide, area, zone, vm from bus")
+def _(v):
+    return _raw_case(v)["bus"].select("ibus", "name", "baskv", F.col("ide").cast("int").alias("ide"), F.col("area").cast("int").alias("area"), F.col("zone").cast("int").alias("zone"), "vm")
+
+
+@query("source_raw_acline", _GRID, "select ibus, jbus, ckt, cast(rpu as double) as rpu, cast(rate1 as double) as rate1 from acline")
+def _(v):
+    return _raw_case(v)["acline"].select("ibus", "jbus", "ckt", "rpu", "rate1")
+
+
+@query("source_raw_generator", _GRID, "select ibus, machid, cast(pt as double) as pt from generator")
+def _(v):
+    return _raw_case(v)["generator"].select("ibus", "machid", "pt")
+
+
+@query("source_rawx", ["bus", "area"], "select 'bus' as section, ibus as id, name, baskv from bus union all select 'area', iarea, arname, null from area")
+def _(v):
+    from gridloom.storage import shared_folder
+
+    spark = v["bus"].sparkSession
+    rows = lambda df, *cols: df.select(F.to_json(F.array(*[F.col(c).cast("string") for c in cols])).alias("row")).agg(F.concat_ws(",", F.collect_list("row")).alias("rows"))
+    section = lambda name, df, *cols: rows(df, *cols).select(F.concat(F.lit(f'"{name}": {{"fields": {json.dumps(cols)}, "data": ['), F.col("rows"), F.lit("]}")).alias("value"))
+    both = section("bus", v["bus"], "ibus", "name", "baskv").unionByName(section("area", v["area"], "iarea", "arname"))
+    text = both.agg(F.concat(F.lit('{"general": {"version": "1"}, "network": {'), F.concat_ws(", ", F.collect_list("value")), F.lit("}}")).alias("value"))
+    path = shared_folder(spark)
+    text.write.text(path)
+    net = models.load(spark, text.first()[0])
+    assert net.general == {"version": 1} or net.general == {"version": "1"}
+    return net["bus"].select(F.lit("bus").alias("section"), F.col("ibus").alias("id"), "name", "baskv").unionByName(net["area"].select(F.lit("area").alias("section"), F.col("iarea").alias("id"), F.col("arname").alias("name"), F.lit(None).cast("double").alias("baskv")))
+
+
+@query("source_con", ["cons"], "select con_id, text from cons")
+def _(v):
+    from gridloom.storage import shared_folder
+
+    path = shared_folder(v["cons"].sparkSession)
+    v["cons"].select(F.col("text").alias("value")).write.option("lineSep", "\n\n").text(path)
+    read = files.read_contingencies(v["cons"].sparkSession, path)
+    return read.select(F.regexp_extract("text", r"CONTINGENCY C(\d+)", 1).cast("long").alias("con_id"), "text")
+
+
+@query("source_ragged", ["bus"], "select cast(ibus as varchar) as id, name, case when area = 1 then cast(zone as varchar) end as extra from bus")
+def _(v):
+    from gridloom.storage import shared_folder
+
+    path = shared_folder(v["bus"].sparkSession)
+    quoted = F.concat(F.lit('"'), F.col("name"), F.lit('"'))
+    v["bus"].select(F.concat_ws(",", F.col("ibus").cast("string"), quoted, F.when(F.col("area") == 1, F.col("zone").cast("string"))).alias("value")).write.text(path)
+    return files.read_ragged(v["bus"].sparkSession, path, ["id", "name", "extra"])
+
+
+@query("sink_csv", ["acline"], "select cast(ibus as varchar) as ibus, cast(jbus as varchar) as jbus, ckt from acline")
+def _(v):
+    from gridloom.storage import shared_folder
+
+    path = shared_folder(v["acline"].sparkSession)
+    sinks.write_csv(v["acline"].select("ibus", "jbus", "ckt"), path)
+    return v["acline"].sparkSession.read.option("header", True).csv(path)
+
+
+@query("contingency_run", _CON, _JUDGED + f", kept as (select c.con_id, exists (select 1 from open o where o.con_id=c.con_id) as poor, (low>=138 and high>=160) or text like '%MACHINE%' or text like '%LOAD%' as inside from cons c left join volts v on v.con_id=c.con_id where {_NOT_REPEATED}) select case when coalesce(inside, false) then case when poor then 'bad' else 'good' end else 'removed' end as result, con_id from kept")
+def _(v):
+    found = contingency.run(v["cons"], _network(v))
+    return found["good"].select(F.lit("good").alias("result"), "con_id").union(found["bad"].select(F.lit("bad"), "con_id")).union(found["removed"].select(F.lit("removed"), "con_id"))
+
+
 # Scalars, quality, records.
 
 

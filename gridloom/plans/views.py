@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.storage import stored
+
 # Every row of part and lineitem takes part. Buses are parts; lines join the parts of consecutive items of an order; transformers
 # those of an order's first three; generation is what was shipped, load what is open. Model 2 lacks buses of size 37, numbers those
 # of size 41 anew, changes the voltage of size 13, drops lines rated 50 and splits those rated 49 by a new bus.
@@ -55,8 +57,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return views(spark, sf_dir, name)[name]
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Views as DataFrames, sharing what they build on."""
+def views(spark: SparkSession, sf_dir: str, *names: str, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Views as DataFrames, sharing what they build on. Those in keep are written once and read from there."""
     made: dict[str, DataFrame] = {}
     for n in needed(list(names)):
         sources = {u: made[u] if u in made else spark.read.parquet(f"{sf_dir}/{u}.parquet") for u in _USES[n]}
@@ -64,4 +66,6 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
         for u in sources:
             sql = re.sub(rf"\b(from|join) {u}\b", rf"\1 {{{u}}}", sql)
         made[n] = spark.sql(sql, **sources)
+        if n in keep:
+            made[n] = stored(made[n])
     return {n: made[n] for n in names}
