@@ -14,7 +14,7 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
    had. Of a key's lines each is compared with the least, and then only lines of different components with each other. Keys of over
    HOT lines (a passage that many lines hold) are cut further by a second pigeonhole: of n words at most floor(0.2 n) are missing in a
    like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency
-   among the key's lines. Clouds of near copies come together round some of their lines first.
+   among all lines of such keys. Clouds of near copies come together round some of their lines first.
 3. 128 bits of a line's words rule out most pairs unread; the others' edit distance is computed over words, each as a code of 19 bits.
 4. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
 
@@ -40,7 +40,8 @@ MIN_CHARS = 6
 BLOCK = 3
 KEYS, SHARED = 14, 2
 SHORT = 3
-HOT = 32
+HOT = 64
+CELLS = 1 << 16
 ROUNDS, FEW = 3, 1_000
 PLACE = (1 << 24) - 1
 WORD = (1 << 40) - 1
@@ -128,19 +129,20 @@ def _pairs(members: DataFrame, key: list[str], also=None) -> DataFrame:
     return one.join(other, key).where(apart if also is None else apart & also).select(F.least("one_lh", "other_lh").alias("a"), F.greatest("one_lh", "other_lh").alias("b"))
 
 
-def _leads(named: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
-    """a, lh, words, s0, s1, lead: the lines of hot keys. Hot keys with one least line a (mostly those of one passage) are one
-    group. lead: the line's first words, by rising frequency in the group."""
-    hot = named.where(F.col("n") > HOT).select("a", "lh").distinct()
-    word = F.explode(F.transform(F.array_distinct(F.filter(F.split("code", ""), lambda x: x != "")), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD)))).alias("word")
-    words = written(hot.join(codes, "lh").select("a", "lh", "words", "s0", "s1", word), "words")
-    often = words.groupBy("a", "word").agg(F.count(F.lit(1)).alias("m"))
-    # Frequency and word in one number, so that they are sorted as one.
-    by = F.sort_array(F.collect_list(F.shiftleft("m", 40).bitwiseOR(F.col("word")))).alias("by")
-    by = words.join(often, ["a", "word"]).groupBy("a", "lh").agg(F.first("words").alias("words"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), by)
-    lead = F.transform(F.slice("by", F.lit(1), _most(F.col("words"), 1 - similarity) + 1), lambda x: x.bitwiseAND(F.lit(WORD)))
-    leads = written(by.select("a", "lh", "words", "s0", "s1", lead.alias("lead")), "leads")
-    forget(words)
+def _leads(hot: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
+    """lh, words, s0, s1, lead: the lines of hot keys and their first words, rare ones among all of these lines first. How many have a
+    word is counted in CELLS cells, so that an executor sends, and gets back, at most so many numbers."""
+    lines = codes.join(hot.select("lh").distinct(), "lh", "left_semi")
+    lines = written(lines.select("lh", "words", "s0", "s1", F.transform(F.array_distinct(F.filter(F.split("code", ""), lambda x: x != "")), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD))).alias("all")), "words")
+    cell = lambda x: x.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counts = [0] * CELLS
+    for c, n in lines.select(F.explode("all").alias("x")).groupBy(cell(F.col("x")).alias("c")).agg(F.count(F.lit(1))).collect():
+        counts[c] = n.bit_length()
+    table = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<long>")
+    by = F.sort_array(F.transform("all", lambda x: F.shiftleft(F.get(table, cell(x)), 40).bitwiseOR(x)))
+    lead = F.transform(F.slice(by, F.lit(1), _most(F.col("words"), 1 - similarity) + 1), lambda x: x.bitwiseAND(F.lit(WORD)))
+    leads = written(lines.select("lh", "words", "s0", "s1", lead.alias("lead")), "leads")
+    forget(lines)
     return leads
 
 
@@ -180,8 +182,10 @@ def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame |
     named = _rooted(members.select("key", "n", "a", "lh"), roots)
     apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     named = written(named.join(apart, "key", "left_semi"), "named")
-    leads = _leads(named, codes, similarity)
-    cut = written(leads.select("a", "lh", "words", "s0", "s1", F.explode("lead").alias("word")), "cut")
+    # Hot keys with one least line a (mostly those of one passage) are one group.
+    hot = named.where(F.col("n") > HOT).select("a", "lh").distinct()
+    leads = _leads(hot, codes, similarity)
+    cut = written(hot.join(leads, "lh").select("a", "lh", "words", "s0", "s1", F.explode("lead").alias("word")), "cut")
     near = _may(similarity, *[F.col(f"{c}_{x}") for c in ("one", "other") for x in ("words", "s0", "s1")])
     # Clouds of near copies come together round some of their lines; what that leaves apart is compared in full.
     for k in range(ROUNDS):
