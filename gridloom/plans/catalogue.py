@@ -530,6 +530,12 @@ def _(v):
     return add.unionByName(inch.render(diff.where("presence = 'model1_only'"), "#DELETE_BUS", {"BusNum": "ibus"})).select("ibus", "record")
 
 
+@query("inch_from_diff", ["bus", "bus2"], "select coalesce(a.ibus, b.ibus) as ibus, case when b.ibus is null then concat('#DELETE_BUS [BusNum]', chr(10), a.ibus, chr(10), '#END') else concat(case when a.ibus is null then '#ADD' else '#MODIFY' end, '_BUS [BusNum,BusName,BusType]', chr(10), concat_ws(',', b.ibus, b.name, b.ide), chr(10), '#END') end as record from bus a full join bus2 b on a.ibus=b.ibus where a.ibus is null or b.ibus is null or a.name is distinct from b.name or a.ide is distinct from b.ide")
+def _(v):
+    cols = ["ibus", "name", "ide"]
+    return inch.from_diff(compare.diff_section(v["bus"].select(*cols), v["bus2"].select(*cols), ["ibus"]), "BUS").select("ibus", "record")
+
+
 def _tz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times as instants, made naive in another zone."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp").alias("ts"))

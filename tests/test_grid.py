@@ -116,6 +116,10 @@ def test_rawx_round_trip(spark, net, tmp_path):
     with pytest.raises(ValueError):
         rawx.parse({"network": {"bus": {"data": []}}})
     assert rawx.clean('[12., 3.]') == "[12.0, 3.0]"
+    case = models.load(spark, '{"general": {"version": "0.1", "n": [1, 2]}, "network": {"zone": {"fields": ["izone", "zoname"], "data": [[1, "a\x07b"]]}}}')
+    assert case.general["n"] == [1, 2] and case["zone"].first()["zoname"] == "a\x07b"
+    escaped = spark.createDataFrame([("a\x07b\x7f 1.,",)], "t string").select(scalar.clean_json(F.col("t"))).first()[0]
+    assert escaped == "a\\u0007b\\u007f 1.0,"
 
 
 def test_cache(spark, case, tmp_path):
@@ -154,7 +158,11 @@ def test_ties_and_hops(spark, net):
     assert net.tie_line_neighborhood(1, [1], "external", kv_min=900)["bus"].count() == 0
     with pytest.raises(ValueError):
         net.neighborhood(seeds, 1, "other")
-    assert topology.shortest_hops(net.hop_edges(), 2, 4, 5) == 2
+    assert topology.shortest_hops(net.hop_edges(), 2, 4, 5) == 2 and topology.shortest_hops(net.hop_edges(), 2, 4, 1) is None
+    assert topology.shortest_path(net.hop_edges(), 2, 4) == [2, 1, 4] and topology.shortest_path(net.hop_edges(), 2, 99) is None
+    lone = spark.createDataFrame([(7, "monitor", 99, None)], "flowgate_id long, role string, ibus long, jbus long")
+    bus = net["bus"].select("ibus").union(spark.createDataFrame([(99,)], "ibus long"))
+    assert [r["ibus"] for r in flowgate.neighborhoods(lone, bus, net["acline"], None, 2).collect()] == [99]
 
 
 def test_graph_modes(net):
@@ -176,6 +184,10 @@ def test_comparison(spark, net):
     graph = c.graph()
     assert [r["path"] for r in graph["path_sectionalizations"].collect()] == [["bus:1", "bus:9", "bus:3"]]
     assert graph["path_bypasses"].count() == 0
+    named = graph["path_sectionalizations"].first()
+    assert named["path_named"].count(" -> ") == 2 and named["original_path_named"].startswith("ONE (1) [500 kV, ide=1] - THREE (3)")
+    keyless = Comparison(Network({"bus": net["bus"], "solver": net["solver"]}), Network({"bus": net["bus"], "solver": net["solver"].withColumn("actaps", F.lit(1).cast("long"))})).tables()["solver"]
+    assert (keyless.first()["presence"], keyless.first()["actaps_delta"], keyless.first()["method_delta"]) == ("both", 1, False)
     with pytest.raises(AssertionError):
         c.renumbered(["ibus"])
     with pytest.raises(ValueError):
@@ -255,6 +267,9 @@ def test_scalars(spark):
 def test_ragged_and_listing(spark, tmp_path):
     (tmp_path / "r.csv").write_text("1,2\n3\n4,5,6\n")
     assert files.read_ragged(spark, str(tmp_path / "r.csv"), ["a"]).columns == ["a", "Col1", "Col2"]
+    (tmp_path / "q.csv").write_text('A,B\nx,y\n1,"a, ""b"""\n2\n')
+    quoted = files.read_ragged(spark, str(tmp_path / "q.csv"), header_rows=2)
+    assert quoted.columns == ["A x", "B y"] and {tuple(r) for r in quoted.collect()} == {("1", 'a, "b"'), ("2", None)}
     (tmp_path / "b.raw").write_text("x")
     (tmp_path / "a.rawx").write_text("x")
     assert [p[-6:] for p in files.model_files(str(tmp_path))] == ["a.rawx", "/b.raw"]
@@ -274,6 +289,8 @@ def test_sinks(spark, net, tmp_path):
 def test_inch(spark):
     rows = spark.createDataFrame([(5, "1")], "ibus long, loadid string")
     assert inch.action(rows, "DELETE_LOAD").first()["record"] == "#DELETE_LOAD [BusNum,LoadID]\n5,1\n#END"
-    assert len(inch.ACTIONS) == 34
+    assert len(inch.ACTIONS) == 34 and len(inch.ACTIONS["ADD_TRANSFORMER"][2]) == 104 and inch.ACTIONS["MODIFY_BUS_NUMBER"][2] == {"BusNum": "ibus", "BusNumChn": "new_ibus"}
+    diff = diff_section(spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "izone long, zoname string"), spark.createDataFrame([(1, "A"), (2, "X"), (4, "D")], "izone long, zoname string"), ["izone"])
+    assert {r["record"] for r in inch.from_diff(diff, "ZONE").collect()} == {"#DELETE_ZONE [ZoneNum]\n3\n#END", "#ADD_ZONE [ZoneNum,ZoneName]\n4,D\n#END", "#MODIFY_ZONE [ZoneNum,ZoneName]\n2,X\n#END"}
     with pytest.raises(ValueError):
         inch.action(rows, "NONE")
