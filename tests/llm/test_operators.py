@@ -248,6 +248,41 @@ def test_jaccard_clouds(spark, most):
     compare_components(spark.createDataFrame(rows, "doc_id long, text string"), rows, max_elements=most)
 
 
+def test_jaccard_links_over_rows_without_id(spark):
+    """A is like B, B like C, A not like C; B has no doc_id."""
+    w = prose(60, 31).split()
+    a, c = ["x1", "x2", "x3", "x4", *w[4:]], [*w[:-4], "y1", "y2", "y3", "y4"]
+    rows = [(1, " ".join(a)), (None, " ".join(w)), (3, " ".join(c)), (4, prose(30, 32))]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, None: 1, 3: 1, 4: 4}
+
+
+def test_shards_of_one_id(spark):
+    """A group larger than a share is spread though its rows have no doc_id; every slot is taken once."""
+    rows = spark.createDataFrame([(None, "same text")] * 400 + [(k, prose(6, k)) for k in range(40)], "doc_id long, text string")
+    found = frame(shards.assign_shards(rows, 4))
+    sizes = found.groupby("shard")["size"].sum()
+    assert len(sizes) == 4 and sizes.max() < 1.6 * sizes.mean() and all(sorted(g.slot) == list(range(len(g))) for _, g in found.groupby("shard"))
+
+
+def test_clashing_columns(spark):
+    """Names that the operators use for themselves may be the table's own."""
+    rows = [(k, prose(40, k % 3), "b", "d", "t", 0.5) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _bucket string, _drop string, _th string, _quality double")
+    assert jaccard.keep_first(df).columns == df.columns and jaccard.keep_first(df).count() == 3
+    assert line_dedup.drop_repeated(df).columns == df.columns and line_dedup.drop_repeated(df).count() == 3
+    assert quality.keep_good(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).columns == df.columns
+
+
+def test_warc_size_classes(spark, tmp_path):
+    """Records of all sizes come back; a file holds no more bytes than asked, unless by one record."""
+    rows = [(k, "u", "x" * n + str(k)) for k, n in enumerate((0, 10, 70_000, 70_000, 300_000, 1_200_000, 5))]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), file_bytes=200_000)
+    found = {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(spark, path).collect()}
+    assert found == {k: len(h) for k, _, h in rows}
+    assert sorted(p.stat().st_size > 200_000 for p in (tmp_path / "w").rglob("part-*")).count(True) <= 2
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (4, 9), (20, 21), (21, 22), (11, 10)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
