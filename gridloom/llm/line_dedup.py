@@ -18,8 +18,8 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
 3. 128 bits of a line's words rule out most pairs unread; the others' edit distance is computed over words, each as a code of 19 bits.
 4. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
 
-SimHash as the source of keys was measured and left: at a similarity of 0.8 two words' sketches of 64 bits differ in 13 bits, so
-that blocks which pigeonhole leaves equal would have 3 to 4 bits. The pigeonhole join stays, over blocks of words.
+SimHash does not make the keys: at a similarity of 0.8 (an angle of acos 0.8) two sketches of 64 bits are expected to differ in 13 bits,
+so blocks that pigeonhole leaves equal would have 3 to 4 bits. The pigeonhole join stays, over blocks of words.
 
 Defined cases: null and empty texts stay as they are; a document that loses all its lines has an empty text; rows with a null doc_id
 are left alone; repeated rows (equal doc_id and text) count as one occurrence, so they keep the same lines; an empty table gives an
