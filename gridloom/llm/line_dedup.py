@@ -1,5 +1,5 @@
-"""Line dedup in DataFrame operations only: like lines are found by joining on pigeonhole blocks of their words and verified by edit
-similarity; one occurrence of each connected group stays.
+"""Line dedup: like lines are found by joining on pigeonhole blocks of their words and verified by edit similarity; one occurrence of each
+connected group stays. Words, keys and edits are reckoned in numpy; rows are joined and counted by Spark.
 
 A line is normalised by lower-casing and reading every run of other characters than letters, marks and digits as a space. Equal
 normalised lines are one group from the start (counted before anything is joined), if they have MIN_WORDS words or MIN_CHARS characters.
@@ -7,16 +7,20 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
 
 1. Blocks. A line of n words has n blocks of three consecutive words (after the last word comes the first). An edit touches three
    blocks at most, so of a like line at most floor(0.6 n) blocks are missing: by the pigeonhole principle, if blocks are put into one
-   global order (by a hash of the first word, short words last), like lines share SHARED = 2 of the first floor(0.6 n) + 2 of each. These are the keys of a line, all of
-   up to 20 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are common, so that fewer than two of the
-   first 14 are has a chance of 0.8 % at the limit of similarity with edits spread evenly, and less with others.
+   global order (by hash, those that start with a short word last), like lines share SHARED = 2 of the first floor(0.6 n) + 2 of each.
+   These are the keys of a line, all of up to 20 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are
+   common, so that fewer than two of the first 14 are has a chance of 0.8 % at the limit of similarity with edits spread evenly, and
+   less with others.
 2. Keys are counted before rows are joined; lines that share fewer than two of theirs with any others are done, and keys that only they
-   had. Of a key's lines each is compared with the least, and then only lines of different components with each other. Keys of over
-   HOT lines (a passage that many lines hold) are cut further by a second pigeonhole: of n words at most floor(0.2 n) are missing in a
-   like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency
-   among all lines of such keys. Clouds of near copies come together round some of their lines first.
-3. 128 bits of a line's words rule out most pairs unread; the others' edit distance is computed over words, each as a code of 19 bits.
-4. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
+   had. The least line of a key is its hub; all lines of keys with one hub are a region.
+3. In a region, 128 bits of each line's words rule out most pairs; the others' edits are counted by a bit-parallel recurrence, unless
+   links found before connect them. No pair is sent anywhere.
+4. Regions of over HOT lines (a passage that many lines hold) are cut by a second pigeonhole: of n words at most floor(0.2 n) are missing
+   in a like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency
+   among all lines of such regions. What is over HOT still (a cloud of near copies) is dealt over tasks: each part is compared in
+   itself, then one line of each component with those of the other parts; in the end the lines outside the largest component meet all
+   others, in blocks.
+5. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
 
 SimHash does not make the keys: at a similarity of 0.8 (an angle of acos 0.8) two sketches of 64 bits are expected to differ in 13 bits,
 so blocks that pigeonhole leaves equal would have 3 to 4 bits. The pigeonhole join stays, over blocks of words.
@@ -28,10 +32,15 @@ empty result; other columns are kept as they are, whatever their names.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NEAR, SHINGLE, forget, written
+from gridloom.llm.common import _Q, NEAR, SHINGLE, chunks, forget, mix, powers, written
 from gridloom.llm.graph import components, maybe_in
 
 MIN_WORDS = SHINGLE
@@ -40,119 +49,191 @@ MIN_CHARS = 6
 BLOCK = 3
 KEYS, SHARED = 14, 2
 SHORT = 3
-HOT = 64
+HOT, HOT_BYTES = 4_096, 32 << 20
+TOGETHER = 4_096
 CELLS = 1 << 16
-ROUNDS, FEW = 3, 1_000
-PLACE = (1 << 24) - 1
-WORD = (1 << 40) - 1
-
-
-def normalised(text: Column) -> Column:
-    """Lower case; other characters than letters, marks and digits as one space, line ends as they are."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\n]+", " ")
-
-
-def _hashes(line: Column) -> Column:
-    """The words of a normalised line, as hashes; the last bit tells those of over SHORT letters."""
-    return F.transform(F.split(F.trim(line), " "), lambda x: F.xxhash64(x).bitwiseAND(F.lit(~1).cast("long")).bitwiseOR((F.length(x) > SHORT).cast("long")))
 
-
-def _most(n: Column, share: float) -> Column:
-    """The largest whole number of that share of n."""
-    return F.floor(n * F.lit(share) + 1e-9).cast("int")
-
-
-def _keys(n: Column, similarity: float) -> Column:
-    """The first blocks of h in the global order, that of their first words' hashes, those of over SHORT letters first. A block is three
-    words from a place on; after the last word comes the first. A word's place stands in the last 24 bits of what is sorted."""
-    place = F.transform("h", lambda x, i: F.shiftleft(x, 63).bitwiseOR(F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(~PLACE).cast("long"))).bitwiseOR(i.cast("long")))
-    take = F.least(F.lit(KEYS), _most(n, BLOCK * (1 - similarity)) + SHARED)
-    at = lambda x, k: F.get(F.col("h"), F.pmod(x.bitwiseAND(F.lit(PLACE)).cast("int") + k, n))
-    return F.array_distinct(F.transform(F.slice(F.sort_array(place), F.lit(1), take), lambda x: F.xxhash64(*[at(x, k) for k in range(BLOCK)])))
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """For each code point: whether it is part of a word, and a random odd number."""
+    if not _TABLES:
+        inside = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        _TABLES[:] = [inside, np.random.default_rng(20240711).integers(1, 2**63, sys.maxunicode + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
+    return _TABLES
+
+
+def _most(n: np.ndarray, share: float) -> np.ndarray:
+    """The largest whole numbers of that share of n."""
+    return np.floor(n * share + 1e-9).astype(np.int64)
+
+
+def _joined(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of values [first, end), in order."""
+    n = len(values)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(n)[0], dtype=np.uint64)])
+        return mix((total[end] - total[first]) * powers(n)[1][first])
+
+
+class Lines:
+    """The lines of some texts that have a word: text (which of the texts), line (its number there), words, chars, first (of h, the hashes
+    of all words; long tells words of over SHORT letters)."""
+
+    def __init__(self, texts: list[str | None]):
+        texts = [x or "" for x in texts]
+        code = np.frombuffer("\n".join(texts).lower().encode("utf-32-le"), "<u4")
+        starts = np.concatenate([[0], np.cumsum([x.count("\n") + 1 for x in texts])]).astype(np.int64)
+        inside, number = _tables()
+        on = np.concatenate([[False], inside[code], [False]])
+        start, end = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:])
+        self.h = _joined(number[code], start, end) if len(start) else np.zeros(0, np.uint64)
+        self.long = end - start > SHORT
+        at = np.cumsum(code == 10)[start]
+        self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        self.words = np.diff(np.concatenate([self.first, [len(at)]])).astype(np.int64)
+        self.chars = np.add.reduceat(end - start, self.first) if len(at) else at
+        self.place = at[self.first]
+        self.text = np.searchsorted(starts, self.place, "right") - 1
+        self.line = self.place - starts[self.text]
+        self.starts = starts
+
+    def names(self) -> np.ndarray:
+        return _joined(self.h, self.first, self.first + self.words) if len(self.h) else self.h
+
+    def keys(self, similarity: float, min_words: int, most_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, how many each line has, how many of them a like line shares at least)"""
+        n, first, own = (np.repeat(x, self.words) for x in (self.words, self.first, np.arange(len(self.words))))
+        pos = np.arange(len(self.h)) - first
+        block = np.zeros(len(self.h), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(BLOCK):
+                block += self.h[first + (pos + k) % n] * _Q[k + 1]
+        block = mix(block)
+        order = np.lexsort(((block >> np.uint64(1)) | ((~self.long).astype(np.uint64) << np.uint64(63)), own))
+        block = block[order]
+        lost = _most(n, BLOCK * (1 - similarity))
+        new = np.concatenate([[True], block[1:] != block[:-1]])[: len(block)] | (pos == 0)
+        pick = new & (n >= min_words) & (pos < np.minimum(most_keys, lost + SHARED))
+        count = np.bincount(own[pick], minlength=len(self.words))
+        # A line of few distinct blocks may share one only.
+        sure = (count >= most_keys) | (count - _most(self.words, BLOCK * (1 - similarity)) >= SHARED)
+        return block[pick], count, np.where(sure, SHARED, 1)
 
 
 def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """doc_id, th, line, lh (hash of the normalised line), words, keys: the lines that count."""
-    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), normalised(F.col("text")).alias("text"))
-    # What is exploded is computed once a line; so is h, which the keys' expressions read many times.
-    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(_hashes(x).alias("h"), F.length(F.replace(x, F.lit(" "))).alias("chars")))
-    rows = own.select("doc_id", "th", F.posexplode(parts).alias("line", "x")).select("doc_id", "th", "line", "x.h", "x.chars", F.size("x.h").alias("words"))
-    rows = rows.where((F.col("chars") > 0) & ((F.col("words") >= min_words) | (F.col("chars") >= MIN_CHARS)))
-    return rows.select("doc_id", "th", "line", F.xxhash64("h").alias("lh"), "words", F.when(F.col("words") >= min_words, _keys(F.col("words"), similarity)).alias("keys"))
+    """doc_id, th, line, lh (hash of the normalised line), need, keys: the lines that count."""
+    most_keys = KEYS
 
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = Lines(part["text"].to_pylist())
+                if not len(found.words):
+                    continue
+                values, count, need = found.keys(similarity, min_words, most_keys)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values.view(np.int64)))
+                text = pa.array(found.text)
+                rows = pa.RecordBatch.from_arrays([part["doc_id"].take(text), part["th"].take(text), pa.array(found.line, pa.int32()), pa.array(found.names().view(np.int64)), pa.array(need, pa.int32()), keys], names=["doc_id", "th", "line", "lh", "need", "keys"])
+                yield rows.filter(pa.array((found.words >= min_words) | (found.chars >= MIN_CHARS)))
 
-def _may(similarity: float, n: Column, a: Column, b: Column, m: Column, c: Column, d: Column) -> Column:
-    """Whether two lines may be alike: no more words miss than edits allow, in either; each bit that misses is a word that does."""
-    most = lambda k: k - F.greatest(n, m) * F.lit(similarity) + 1e-9
-    lost = lambda p, q, r, t: F.bit_count(p.bitwiseAND(F.bitwise_not(r))) + F.bit_count(q.bitwiseAND(F.bitwise_not(t)))
-    return (lost(a, b, c, d) <= most(n)) & (lost(c, d, a, b) <= most(m))
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, th long, line int, lh long, need int, keys array<long>")
 
 
 def _codes(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
-    """lh, words, s0 and s1 (128 bits, of which each word sets one), code (a character for each word) of the wanted line hashes."""
+    """lh, code (four bytes for each word) of the wanted line hashes."""
     places = groups.join(wanted, "lh", "left_semi").select("lh", "first.doc_id", "first.line", "first.th")
-    places = written(places.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("line", "lh"))).alias("at")), "places")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    places = written(places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "lh")).alias("at")), "places")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     own = maybe_in(own, "doc_id", places).withColumn("th", F.xxhash64("text")).join(places, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    picked = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.try_element_at(F.col("at"), i).alias("lh"), x.alias("line"))), lambda x: x["lh"].isNotNull())
-    rows = own.select(F.explode(F.transform(picked, lambda x: F.struct(x["lh"].alias("lh"), _hashes(normalised(x["line"])).alias("h")))).alias("x")).select("x.lh", "x.h")
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(63)).cast("int"))
-    bits = [F.aggregate("h", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(2)) == F.lit(2 * k), a.bitwiseOR(one(x))).otherwise(a)).alias(f"s{k}") for k in range(2)]
-    # Four bytes that are one character in UTF-8: F1 or F3, then three of six bits.
-    spread = lambda x: F.lit(0xF1808080).bitwiseOR(x.bitwiseAND(F.lit(0x023F3F3F)))
-    code = F.unhex(F.array_join(F.transform("h", lambda x: F.hex(spread(F.shiftrightunsigned(x, 7)))), "")).cast("string")
-    out = written(rows.select("lh", F.size("h").alias("words"), *bits, code.alias("code")), "codes")
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = Lines(part["text"].to_pylist())
+                names, code = [], []
+                short = (found.h >> np.uint64(32)).astype("<u4")
+                for start, at in zip(found.starts, part["at"].to_pylist()):
+                    for x, k in zip(at, np.searchsorted(found.place, [start + x["line"] for x in at])):
+                        names.append(x["lh"])
+                        code.append(short[found.first[k] : found.first[k] + found.words[k]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(code, pa.binary())], names=["lh", "code"])
+
+    out = written(own.select("text", "at").mapInArrow(run, "lh long, code binary"), "codes")
     forget(places)
     return out
 
 
-def _alike(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of line hashes whose lines are alike."""
-    side = lambda c, *cols: codes.select(F.col("lh").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
-    sketch = ("words", "s0", "s1")
-    near = pairs.join(side("a", *sketch), "a").join(side("b", *sketch), "b").where(_may(similarity, *[F.col(f"{c}_{x}") for c in "ab" for x in sketch]))
-    near = written(near.select("a", "b", _most(F.greatest("a_words", "b_words"), 1 - similarity).alias("most")), "near")
-    # Few edits are looked for first: that band is narrow.
-    alike = F.expr("levenshtein(a_code, b_code, 8) between 0 and most or (most > 8 and levenshtein(a_code, b_code, most) >= 0)")
-    found = written(near.join(side("a", "code"), "a").join(side("b", "code"), "b").where(alike).select("a", "b"), "alike")
-    forget(near)
+def edits(a: list[int], b: list[int]) -> int:
+    """The edit distance; a bit for each word of a in whole numbers of any length."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top, more, less, found = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
+    for x in b:
+        same = places.get(x, 0)
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up, off = less | (full & ~(across | more)), more & across
+        found += 1 if up & top else -1 if off & top else 0
+        up, off = (up << 1 | 1) & full, (off << 1) & full
+        more, less = off | (full & ~(down | up)), up & down
     return found
 
 
-def _pairs(members: DataFrame, key: list[str], also=None) -> DataFrame:
-    """a, b: lines of a key that lie in different components. Those of a key's largest component are only compared with others."""
-    counts = members.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("roots"))
-    one = members.join(counts.where("roots > 1").drop("roots"), key).where("root <> main").select(*key, *[F.col(c).alias(f"one_{c}") for c in members.columns if c not in key], "main")
-    other = members.select(*key, *[F.col(c).alias(f"other_{c}") for c in members.columns if c not in key])
-    # Of two lines outside the main component each meets the other, so one way is enough.
-    apart = F.expr("one_root <> other_root and (other_root = main or one_lh < other_lh)")
-    return one.join(other, key).where(apart if also is None else apart & also).select(F.least("one_lh", "other_lh").alias("a"), F.greatest("one_lh", "other_lh").alias("b"))
-
-
-def _leads(hot: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
-    """lh, words, s0, s1, lead: the lines of hot keys and their first words, rare ones among all of these lines first. How many have a
-    word is counted in CELLS cells, so that an executor sends, and gets back, at most so many numbers."""
-    lines = codes.join(hot.select("lh").distinct(), "lh", "left_semi")
-    lines = written(lines.select("lh", "words", "s0", "s1", F.transform(F.array_distinct(F.filter(F.split("code", ""), lambda x: x != "")), lambda x: F.xxhash64(x).bitwiseAND(F.lit(WORD))).alias("all")), "words")
-    cell = lambda x: x.bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    counts = [0] * CELLS
-    for c, n in lines.select(F.explode("all").alias("x")).groupBy(cell(F.col("x")).alias("c")).agg(F.count(F.lit(1))).collect():
-        counts[c] = n.bit_length()
-    table = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<long>")
-    by = F.sort_array(F.transform("all", lambda x: F.shiftleft(F.get(table, cell(x)), 40).bitwiseOR(x)))
-    lead = F.transform(F.slice(by, F.lit(1), _most(F.col("words"), 1 - similarity) + 1), lambda x: x.bitwiseAND(F.lit(WORD)))
-    leads = written(lines.select("lh", "words", "s0", "s1", lead.alias("lead")), "leads")
-    forget(lines)
-    return leads
-
-
-def _star(cut: DataFrame, k: int, also) -> DataFrame:
-    """a, b: of each key one line of the largest component, the k-th choice, with the lines of other components."""
-    own = F.min(F.struct(F.xxhash64("lh", F.lit(k)).alias("by"), "lh", "root", "words", "s0", "s1")).alias("hub")
-    hubs = cut.groupBy("a", "word", "root").agg(F.count(F.lit(1)).alias("n"), own).groupBy("a", "word").agg(F.max_by("hub", "n").alias("hub"), F.count(F.lit(1)).alias("roots"))
-    hubs = hubs.where("roots > 1").select("a", "word", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in ("lh", "root", "words", "s0", "s1")])
-    one = cut.select("a", "word", *[F.col(c).alias(f"one_{c}") for c in ("lh", "root", "words", "s0", "s1")])
-    return one.join(hubs, ["a", "word"]).where((F.col("one_root") != F.col("other_root")) & also).select(F.least("one_lh", "other_lh").alias("a"), F.greatest("one_lh", "other_lh").alias("b")).distinct()
+def region_links(names: np.ndarray, roots: np.ndarray, code: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all like lines of a region, beside those that stand in roots."""
+    n = np.array([len(x) for x in code], np.int64)
+    every = np.concatenate(code)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    bit = np.uint64(1) << (every & np.uint32(63)).astype(np.uint64)
+    half = (every & np.uint32(64)).astype(bool)
+    sketch = [np.bitwise_or.reduceat(np.where(half == bool(k), bit, np.uint64(0)), first) for k in range(2)]
+    label = np.unique(roots, return_inverse=True)[1]
+    lost = lambda a, b: np.bitwise_count(a[0] & ~b[0]).astype(np.int64) + np.bitwise_count(a[1] & ~b[1])
+    out = []
+    for i in range(len(n) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(j):
+            continue
+        one, other = [s[i] for s in sketch], [s[j] for s in sketch]
+        least = np.maximum(n[j], n[i]) * similarity - 1e-9
+        j = j[(np.minimum(n[j], n[i]) >= least) & (lost(one, other) <= n[i] - least) & (lost(other, one) <= n[j] - least)]
+        own = code[i].tolist() if len(j) else []
+        for k in j.tolist():
+            if label[k] != label[i] and edits(own, code[k].tolist()) <= max(n[k], n[i]) * (1 - similarity) + 1e-9:
+                out.append((int(min(names[i], names[k])), int(max(names[i], names[k]))))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def _links_in(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of like lines in regions of bounded size. rows: region, lh, root, code. Some regions share a task's call."""
+
+    def run(key, table):
+        table = table.combine_chunks()
+        region, names, roots = (table[c].to_numpy() for c in ("region", "lh", "root"))
+        order = np.argsort(region, kind="stable")
+        code = [np.frombuffer(x.as_buffer(), "<u4") for x in table["code"]]
+        found = []
+        for own in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+            own = own[np.unique(names[own], return_index=True)[1]]  # a line may come twice
+            found += region_links(names[own], roots[own], [code[k] for k in own], similarity)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    calls = max(64, rows.count() // TOGETHER)
+    dealt = rows.withColumn("call", F.pmod(F.xxhash64("region"), F.lit(calls)))
+    return written(dealt.groupBy("call").applyInArrow(run, "a long, b long"), "alike")
+
+
+def _sizes(rows: DataFrame, region: str = "region") -> DataFrame:
+    """region, parts: how many parts of a bounded size a region has."""
+    sums = rows.groupBy(region).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("bytes"))
+    return sums.select(region, F.ceil(F.greatest(F.col("n") / HOT, F.col("bytes") / HOT_BYTES)).cast("int").alias("parts"))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -160,45 +241,96 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "lh"), "lh", "left").withColumn("root", F.coalesce("root", "lh"))
 
 
-def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame | None:
+def _leads(rows: DataFrame, similarity: float) -> DataFrame:
+    """region, lh: the lines of large regions in smaller ones, by their first words, rare ones among all of these lines first. How many
+    have a word is counted in CELLS cells, so that a task sends, and gets back, at most so many numbers."""
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch["code"]:
+                np.add.at(total, np.unique(np.frombuffer(x.as_buffer(), "<u4") % CELLS), 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["cell", "n"])
+
+    lines = rows.dropDuplicates(["lh"]).select("code")
+    level = np.zeros(CELLS, np.int64)
+    for cell, n in lines.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        level[cell] = int(n).bit_length()
+    level = rows.sparkSession.sparkContext.broadcast(level)
+
+    def lead(batches):
+        for batch in batches:
+            words = []
+            for x in batch["code"]:
+                own = np.frombuffer(x.as_buffer(), "<u4")
+                first = np.unique(own)
+                words.append(first[np.lexsort((first, level.value[first % CELLS]))][: int(_most(np.int64(len(own)), 1 - similarity)) + 1])
+            which = pa.array(np.repeat(np.arange(len(words)), [len(w) for w in words]))
+            yield pa.RecordBatch.from_arrays([batch["region"].take(which), batch["lh"].take(which), pa.array(np.concatenate(words).astype(np.int64))], names=["region", "lh", "word"])
+
+    cut = written(rows.select("region", "lh", "code").mapInArrow(lead, "region long, lh long, word long"), "cut")
+    hubs = cut.groupBy("region", "word").agg(F.min("lh").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("region", "word", "hub")
+    out = written(cut.join(hubs, ["region", "word"]).select(F.col("hub").alias("region"), "lh").distinct(), "leads")
+    forget(cut)
+    return out
+
+
+def _clouds(rows: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """All links, with those in regions of any size. rows: region, lh, code, parts."""
+    dealt = lambda c, seed: F.pmod(F.xxhash64("lh", F.lit(seed)), F.col(c)).cast("int")
+    part = lambda *c: F.xxhash64("region", *c).alias("region")
+    roots = components(links)
+    links = links.unionByName(_links_in(_rooted(rows, roots).select(part(dealt("parts", 0)), "lh", "root", "code"), similarity))
+    # A line of each component meets those of the others, by parts too.
+    firsts = written(_rooted(rows, components(links)).groupBy("region", "root").agg(F.min_by(F.struct("lh", "code"), F.xxhash64("lh")).alias("x")).select("region", "root", "x.lh", "x.code"), "firsts")
+    few = firsts.join(_sizes(firsts), "region").select(part(dealt("parts", 1)), "lh", "root", "code")
+    links = links.unionByName(_links_in(few, similarity))
+    # Lines outside the largest component meet all others.
+    named = written(_rooted(rows, components(links)), "named")
+    main = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max_by("root", "n").alias("main"))
+    named = written(named.join(main, "region"), "main")
+    rest = named.where("root <> main")
+    blocks = _sizes(rest).withColumnRenamed("parts", "blocks")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias("each")
+    whole = named.join(blocks, "region").select("region", "lh", "root", "code", dealt("parts", 0).alias("own"), each("blocks"))
+    apart = rest.join(blocks, "region").select("region", "lh", "root", "code", each("parts"), dealt("blocks", 2).alias("block"))
+    cells = whole.select(part("own", "each"), "lh", "root", "code").unionByName(apart.select(part("each", "block"), "lh", "root", "code"))
+    return links.unionByName(_links_in(written(cells, "cells"), similarity))
+
+
+def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """node, root: the components of like lines."""
-    # A line of few distinct blocks may share one only; any other shares SHARED with each line that is like it.
-    keyed = groups.where("keys is not null").select("lh", F.when((F.size("keys") >= KEYS) | (F.size("keys") - _most(F.col("words"), BLOCK * (1 - similarity)) >= SHARED), SHARED).otherwise(1).alias("need"), F.explode("keys").alias("key"))
+    keyed = groups.where(F.size("keys") > 0).select("lh", "need", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     members = written(keyed.join(shared, "key"), "members")
     forget(shared)
     for _ in range(2):
-        lines = members.groupBy("lh").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED).select("lh")
-        lines = members.where(F.col("need") < SHARED).select("lh").union(lines).distinct()
+        lines = members.groupBy("lh").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need").select("lh")
         left = members.join(lines, "lh", "left_semi")
-        keys = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("a")).where("n > 1")
-        left = written(left.select("key", "lh", "need").join(keys, "key"), "members")
+        keys = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("hub")).where("n > 1")
+        left = written(left.select("key", "lh", "need").join(keys.drop("n"), "key"), "members")
         forget(members)
         members = left
-    pairs = written(members.where("lh <> a").select("a", F.col("lh").alias("b")).distinct(), "pairs")
-    codes = _codes(docs, groups, pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct())
-    links = _alike(pairs, codes, similarity)
+    regions = written(members.select(F.col("hub").alias("region"), "lh").distinct(), "regions")
+    forget(members)
+    codes = _codes(docs, groups, regions.select("lh").distinct())
+    coded = lambda rows: rows.join(codes, "lh").select("region", "lh", F.col("lh").alias("root"), "code")
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links in the regions of one part, and the rows of the others, with parts."""
+        rows = written(coded(rows), "rows")
+        large = written(_sizes(rows).where("parts > 1"), "large")
+        return _links_in(rows.join(large, "region", "left_anti"), similarity), written(rows.drop("root").join(large, "region"), "hot")
+
+    links, hot = parted(regions)
+    if not hot.isEmpty():
+        more, hot = parted(_leads(hot, similarity))
+        links = links.unionByName(more)
+        if not hot.isEmpty():
+            links = _clouds(hot, links, similarity)
     roots = components(links)
-    named = _rooted(members.select("key", "n", "a", "lh"), roots)
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    named = written(named.join(apart, "key", "left_semi"), "named")
-    # Hot keys with one least line a (mostly those of one passage) are one group.
-    hot = named.where(F.col("n") > HOT).select("a", "lh").distinct()
-    leads = _leads(hot, codes, similarity)
-    cut = written(hot.join(leads, "lh").select("a", "lh", "words", "s0", "s1", F.explode("lead").alias("word")), "cut")
-    near = _may(similarity, *[F.col(f"{c}_{x}") for c in ("one", "other") for x in ("words", "s0", "s1")])
-    # Clouds of near copies come together round some of their lines; what that leaves apart is compared in full.
-    for k in range(ROUNDS):
-        star = _alike(_star(_rooted(cut, roots), k, near), codes, similarity)
-        links = links.unionByName(star)
-        roots = components(links)
-        if star.count() < FEW:
-            break
-    rest = _pairs(_rooted(named.where(F.col("n") <= HOT).select("key", "lh"), roots), ["key"]).unionByName(_pairs(_rooted(cut, roots), ["a", "word"], near))
-    rest = written(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = _alike(rest, codes, similarity)
-    roots = components(links.unionByName(more))
-    forget(members, pairs, codes, named, leads, cut, rest, more)
+    forget(regions, codes)
     return roots
 
 
@@ -206,7 +338,7 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
     found = written(_measured(docs, similarity, min_words), "lines")
     first = F.min(F.struct("doc_id", "line", "th")).alias("first")
-    groups = written(found.groupBy("lh").agg(first, F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n")), "groups")
+    groups = written(found.groupBy("lh").agg(first, F.first("need").alias("need"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "groups")
     # The keys are done with in groups; what is read last are places of lines.
     small = written(found.select("doc_id", "th", "line", "lh"), "places")
     forget(found)
