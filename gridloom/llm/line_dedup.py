@@ -194,6 +194,8 @@ def region_links(names: np.ndarray, roots: np.ndarray, code: list[np.ndarray], s
     half = (every & np.uint32(64)).astype(bool)
     sketch = [np.bitwise_or.reduceat(np.where(half == bool(k), bit, np.uint64(0)), first) for k in range(2)]
     label = np.unique(roots, return_inverse=True)[1]
+    word = np.unique(every, return_inverse=True)[1]
+    mark = np.zeros(word.max() + 1, bool)
     lost = lambda a, b: np.bitwise_count(a[0] & ~b[0]).astype(np.int64) + np.bitwise_count(a[1] & ~b[1])
     out = []
     for i in range(len(n) - 1):
@@ -203,8 +205,16 @@ def region_links(names: np.ndarray, roots: np.ndarray, code: list[np.ndarray], s
         one, other = [s[i] for s in sketch], [s[j] for s in sketch]
         least = np.maximum(n[j], n[i]) * similarity - 1e-9
         j = j[(np.minimum(n[j], n[i]) >= least) & (lost(one, other) <= n[i] - least) & (lost(other, one) <= n[j] - least)]
-        own = code[i].tolist() if len(j) else []
-        for k in j.tolist():
+        if not len(j):
+            continue
+        # Words that only the other line has are edits; bits of long lines do not tell that.
+        mine = word[first[i] : first[i] + n[i]]
+        mark[mine] = True
+        ends = np.cumsum(n[j])
+        there = np.add.reduceat(mark[word[np.repeat(first[j] - ends + n[j], n[j]) + np.arange(ends[-1])]].astype(np.int64), ends - n[j])
+        mark[mine] = False
+        own = code[i].tolist()
+        for k in j[there >= np.maximum(n[j], n[i]) * similarity - 1e-9].tolist():
             if label[k] != label[i] and edits(own, code[k].tolist()) <= max(n[k], n[i]) * (1 - similarity) + 1e-9:
                 out.append((int(min(names[i], names[k])), int(max(names[i], names[k]))))
                 label[label == label[k]] = label[i]
@@ -303,11 +313,12 @@ def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """node, root: the components of like lines."""
     keyed = groups.where(F.size("keys") > 0).select("lh", "need", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    members = written(keyed.join(shared, "key"), "members")
+    # Keys that lines share are the smaller side, dealt evenly by hash, so the longer one need not be sorted.
+    members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "members")
     forget(shared)
     for _ in range(2):
         lines = members.groupBy("lh").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need").select("lh")
-        left = members.join(lines, "lh", "left_semi")
+        left = members.join(lines.hint("shuffle_hash"), "lh", "left_semi")
         keys = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("hub")).where("n > 1")
         left = written(left.select("key", "lh", "need").join(keys.drop("n"), "key"), "members")
         forget(members)

@@ -368,6 +368,33 @@ def test_line_dedup_is_exact(spark, monkeypatch):
     assert set(found[found.n_dropped == 0].doc_id) == {k for k in range(len(texts)) if top(k) == k}
 
 
+def test_region_links():
+    """Against all pairs compared: short and long lines, few different words and many."""
+    rng = random.Random(1)
+    for _ in range(100):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(1, 90))] for _ in range(2))
+        assert line_dedup.edits(a, b) == word_edits(a, b)
+    for t in range(12):
+        lines = []
+        for _ in range(8):
+            base = [rng.randrange(2**32 if t % 2 else 40) for _ in range(rng.choice((5, 6, 10, 25, 80)))]
+            for _ in range(4):
+                w = list(base)
+                for _ in range(rng.randint(0, len(w) // 5 + 1)):
+                    w[rng.randrange(len(w))] = rng.randrange(2**32)
+                lines.append(w)
+        names = np.arange(len(lines), dtype=np.int64)
+
+        def classes(links, n=len(lines)):
+            root = list(range(n))
+            for a, b in links:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+            return root
+
+        like = [(i, j) for j in range(len(lines)) for i in range(j) if word_edits(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9]
+        assert classes(line_dedup.region_links(names, names, [np.array(w, "<u4") for w in lines], 0.8)) == classes(like)
+
+
 def test_short_lines(spark):
     """Equal lines of few words, or without spaces, are found too."""
     rows = [(k, f"All rights reserved.\n{line}") for k, line in enumerate(("一二三四五六七八九十", "一二三四五六七八九十", "own line"))]
