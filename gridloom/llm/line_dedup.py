@@ -52,6 +52,8 @@ SHORT = 3
 HOT, HOT_BYTES = 4_096, 32 << 20
 TOGETHER = 4_096
 CELLS = 1 << 16
+#: Reckoning takes about a hundred times a piece's bytes for a moment, and a worker keeps what it once had.
+PIECE = 1 << 18
 
 _TABLES: list[np.ndarray] = []
 
@@ -128,7 +130,7 @@ def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PIECE):
                 found = Lines(part["text"].to_pylist())
                 if not len(found.words):
                     continue
@@ -151,7 +153,7 @@ def _codes(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PIECE):
                 found = Lines(part["text"].to_pylist())
                 names, code = [], []
                 short = (found.h >> np.uint64(32)).astype("<u4")
