@@ -101,7 +101,7 @@ class Comparison:
 
     def query(self, queries: dict[str, str | Column] = COMPARISON_QUERIES, low: float = KV_BAND[0], high: float = KV_BAND[1]) -> dict[str, DataFrame]:
         """The diffs narrowed to the buses of kv_buses, by key columns, and to each section's own filter."""
-        keep, out = self.kv_buses(low, high), {}
+        keep, out = self.kv_buses(low, high).distinct(), {}  # several rows of a bus (numbers used twice) match once
         for name, df in self.tables().items():
             if not isinstance(df, DataFrame):
                 continue
