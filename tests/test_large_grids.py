@@ -11,3 +11,18 @@ def test_query_keeps_rows_of_a_number_used_twice_as_they_are(spark):
     load = spark.createDataFrame([(1, "1")], "ibus long, loadid string")
     found = Comparison(Network({"bus": one, "load": load}), Network({"bus": two, "load": load})).query({"bus": "vm_delta > 0"})
     assert sorted(r["name_model2"] for r in found["bus"].collect()) == ["A", "B"]
+
+
+def test_many_walkers_at_once_reach_what_each_reaches_alone(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import topology
+
+    n = 300  # more walkers than a packed row holds, some of them without a role
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    nodes = spark.range(n + 1).select(F.col("id").alias("node"))
+    seeds = nodes.select(F.col("node").alias("flow"), F.when(F.col("node") % 2 == 0, "even").alias("role"), "node")
+    state, walkers = topology.packed_reach(pairs, seeds, 2, ["flow", "role"], nodes)
+    assert walkers.select("block", "bit").distinct().count() == n + 1 and state.count() <= 4 * (n + 1)
+    found = {(r["flow"], r["node"]) for r in topology.unpacked(state, walkers, ["flow", "role"]).collect()}
+    assert found == {(f, m) for f in range(n) for m in range(max(0, f - 2), min(n, f + 3))} | {(n, n)}
