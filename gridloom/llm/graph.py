@@ -11,22 +11,35 @@ FILTER_BUCKETS = 1 << 18
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of links (a, b): the smallest node that can be reached. Least labels spread over links and along
-    themselves (pointer jumping) until none changes; every round is a written table, and nodes with many links are split like any
-    skewed join."""
+    """(node, root) for all nodes of links (a, b): the smallest node that can be reached. Nodes stand in the order of a one-to-one hash;
+    each goes up to the first of itself and its neighbours, and what is left of the links goes up with it, until none is left. So a round
+    has only links whose ends have not met, of about half the nodes of the round before or fewer. Every round is a written table, and
+    nodes with many links are split like any skewed join."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    place = lambda c: F.xxhash64(F.col(c).cast("long"))  # noqa: E731  of one long it is one-to-one
+    ups = [written(both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("node"), F.least(place("a"), "m").alias("up")), "up")]
+    edges = both.select(place("a").alias("a"), place("b").alias("b"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        least = written(labels.join(up, "root", "left").select("node", "root", F.coalesce("up", "root").alias("up")), "up")
-        new = least.join(near, least.node == near.a, "left").select("node", F.col("root").alias("old"), F.least("root", "up", "near").alias("root"))
-        new = written(new, "labels")
-        forget(least)
-        labels = new.select("node", "root")
-        if new.where("root < old").isEmpty():
-            forget(both)
-            return labels
+        up = ups[-1] if len(ups) > 1 else ups[0].select(place("node").alias("node"), "up")
+        one, other = (up.select(F.col("node").alias(x), F.col("up").alias(f"{x}_up")) for x in "ab")
+        # Each link stands there both ways.
+        left = edges.join(one, "a").join(other, "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct()
+        left = written(left, "links")
+        forget(both)
+        both = edges = left
+        if left.isEmpty():
+            break
+        ups.append(written(left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up"))
+    forget(both)
+    while len(ups) > 1:
+        last = ups.pop()
+        top = last.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        own = written(ups[-1].join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "up")
+        forget(last, ups[-1])
+        ups[-1] = own
+    roots = written(ups[0].join(ups[0].groupBy("up").agg(F.min("node").alias("root")), "up").select("node", "root"), "labels")
+    forget(ups[0])
+    return roots
 
 
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:

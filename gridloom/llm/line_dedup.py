@@ -37,11 +37,11 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import _Q, NEAR, SHINGLE, chunks, forget, mix, powers, written
-from gridloom.llm.graph import components, maybe_in
+from gridloom.llm.graph import components
 
 MIN_WORDS = SHINGLE
 SIMILARITY = NEAR
@@ -52,6 +52,10 @@ SHORT = 3
 HOT, HOT_BYTES = 4_096, 32 << 20
 TOGETHER = 4_096
 CELLS = 1 << 16
+#: Bits of a key that say which line of its piece has it, while keys are sorted; the others make the key.
+OWN_BITS = 14
+#: Regions of up to so many lines are compared many at a time.
+SMALL, PAIRS = 128, 1 << 16
 #: Reckoning takes about a hundred times a piece's bytes for a moment, and a worker keeps what it once had.
 PIECE = 1 << 18
 
@@ -92,7 +96,7 @@ class Lines:
         start, end = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:])
         self.h = _joined(number[code], start, end) if len(start) else np.zeros(0, np.uint64)
         self.long = end - start > SHORT
-        at = np.cumsum(code == 10)[start]
+        at = np.searchsorted(np.flatnonzero(code == 10), start)
         self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
         self.words = np.diff(np.concatenate([self.first, [len(at)]])).astype(np.int64)
         self.chars = np.add.reduceat(end - start, self.first) if len(at) else at
@@ -111,10 +115,14 @@ class Lines:
         block = np.zeros(len(self.h), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(BLOCK):
-                block += self.h[first + (pos + k) % n] * _Q[k + 1]
-        block = mix(block)
-        order = np.lexsort(((block >> np.uint64(1)) | ((~self.long).astype(np.uint64) << np.uint64(63)), own))
-        block = block[order]
+                at = pos + k
+                at = first + np.where(at < n, at, at % n)
+                block += self.h[at] * _Q[k + 1]
+        block = (mix(block) >> np.uint64(OWN_BITS + 1)) | ((~self.long).astype(np.uint64) << np.uint64(63 - OWN_BITS))
+        if len(self.words) < 1 << OWN_BITS:
+            block = np.sort(block | own.astype(np.uint64) << np.uint64(64 - OWN_BITS)) & np.uint64((1 << 64 - OWN_BITS) - 1)
+        else:
+            block = block[np.lexsort((block, own))]
         lost = _most(n, BLOCK * (1 - similarity))
         new = np.concatenate([[True], block[1:] != block[:-1]])[: len(block)] | (pos == 0)
         pick = new & (n >= min_words) & (pos < np.minimum(most_keys, lost + SHARED))
@@ -125,7 +133,7 @@ class Lines:
 
 
 def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """doc_id, th, line, lh (hash of the normalised line), need, keys: the lines that count."""
+    """doc_id, th, line, lh (hash of the normalised line), need, keys, code (four bytes for each word): the lines that count."""
     most_keys = KEYS
 
     def run(batches):
@@ -137,35 +145,13 @@ def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
                 values, count, need = found.keys(similarity, min_words, most_keys)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values.view(np.int64)))
                 text = pa.array(found.text)
-                rows = pa.RecordBatch.from_arrays([part["doc_id"].take(text), part["th"].take(text), pa.array(found.line, pa.int32()), pa.array(found.names().view(np.int64)), pa.array(need, pa.int32()), keys], names=["doc_id", "th", "line", "lh", "need", "keys"])
+                at = np.concatenate([found.first, [len(found.h)]]) * 4
+                code = pa.Array.from_buffers(pa.binary(), len(found.words), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer((found.h >> np.uint64(32)).astype("<u4"))])
+                rows = pa.RecordBatch.from_arrays([part["doc_id"].take(text), part["th"].take(text), pa.array(found.line, pa.int32()), pa.array(found.names().view(np.int64)), pa.array(need, pa.int32()), keys, code], names=["doc_id", "th", "line", "lh", "need", "keys", "code"])
                 yield rows.filter(pa.array((found.words >= min_words) | (found.chars >= MIN_CHARS)))
 
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, th long, line int, lh long, need int, keys array<long>")
-
-
-def _codes(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
-    """lh, code (four bytes for each word) of the wanted line hashes."""
-    places = groups.join(wanted, "lh", "left_semi").select("lh", "first.doc_id", "first.line", "first.th")
-    places = written(places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "lh")).alias("at")), "places")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    own = maybe_in(own, "doc_id", places).withColumn("th", F.xxhash64("text")).join(places, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text", PIECE):
-                found = Lines(part["text"].to_pylist())
-                names, code = [], []
-                short = (found.h >> np.uint64(32)).astype("<u4")
-                for start, at in zip(found.starts, part["at"].to_pylist()):
-                    for x, k in zip(at, np.searchsorted(found.place, [start + x["line"] for x in at])):
-                        names.append(x["lh"])
-                        code.append(short[found.first[k] : found.first[k] + found.words[k]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(code, pa.binary())], names=["lh", "code"])
-
-    out = written(own.select("text", "at").mapInArrow(run, "lh long, code binary"), "codes")
-    forget(places)
-    return out
+    return own.mapInArrow(run, "doc_id long, th long, line int, lh long, need int, keys array<long>, code binary")
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -187,54 +173,122 @@ def edits(a: list[int], b: list[int]) -> int:
     return found
 
 
-def region_links(names: np.ndarray, roots: np.ndarray, code: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all like lines of a region, beside those that stand in roots."""
-    n = np.array([len(x) for x in code], np.int64)
-    every = np.concatenate(code)
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within runs of these sizes."""
+    after = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
+    one = np.repeat(np.arange(len(after)), after)
+    return one, one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _within(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first + 0, first + 1 ... of each run of n, where each run starts)"""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), ends - n
+
+
+class Forest:
+    def __init__(self, labels: np.ndarray):
+        self.top = list(range(int(labels.max(initial=-1)) + 1))
+
+    def find(self, x: int) -> int:
+        top = self.top
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+
+def all_links(region: np.ndarray, names: np.ndarray, roots: np.ndarray, every: np.ndarray, n: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all like lines of each region, beside those that stand in roots. Rows are in the order of region; every has the
+    words of all rows, n of each."""
+    first = np.cumsum(n) - n
     bit = np.uint64(1) << (every & np.uint32(63)).astype(np.uint64)
     half = (every & np.uint32(64)).astype(bool)
     sketch = [np.bitwise_or.reduceat(np.where(half == bool(k), bit, np.uint64(0)), first) for k in range(2)]
     label = np.unique(roots, return_inverse=True)[1]
+    names, forest = names.tolist(), Forest(label)
+    own, lines = label.tolist(), {}
+    # A word of a row as one number, by rank.
     word = np.unique(every, return_inverse=True)[1]
-    mark = np.zeros(word.max() + 1, bool)
-    lost = lambda a, b: np.bitwise_count(a[0] & ~b[0]).astype(np.int64) + np.bitwise_count(a[1] & ~b[1])
+    held = np.unique(np.repeat(np.arange(len(n)), n) * (word.max() + 1) + word)
+    lost = lambda i, j: sum(np.bitwise_count(s[i] & ~s[j]).astype(np.int64) for s in sketch)
     out = []
-    for i in range(len(n) - 1):
-        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        if not len(j):
-            continue
-        one, other = [s[i] for s in sketch], [s[j] for s in sketch]
-        least = np.maximum(n[j], n[i]) * similarity - 1e-9
-        j = j[(np.minimum(n[j], n[i]) >= least) & (lost(one, other) <= n[i] - least) & (lost(other, one) <= n[j] - least)]
-        if not len(j):
-            continue
+
+    def join(i: int, j: int, a: int, b: int, now: np.ndarray | None) -> None:
+        forest.top[b] = a
+        if now is not None:
+            now[now == b] = a
+        out.append((min(names[i], names[j]), max(names[i], names[j])))
+
+    def compare(i: np.ndarray, j: np.ndarray, now: np.ndarray | None = None) -> None:
+        least = np.maximum(n[i], n[j]) * similarity - 1e-9
+        ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least)
+        i, j, least = i[ok], j[ok], least[ok]
+        ok = (lost(i, j) <= n[i] - least) & (lost(j, i) <= n[j] - least)
+        i, j, least = i[ok], j[ok], least[ok]
+        if not len(i):
+            return
+        # Words that differ place by place, from the start or the end, are no fewer than the edits.
+        both, gap = np.minimum(n[i], n[j]), np.abs(n[i] - n[j])
+        alike = np.zeros(len(i), bool)
+        for end in (0, 1):
+            x, at = _within(first[i] + end * (n[i] - both), both)
+            y, _ = _within(first[j] + end * (n[j] - both), both)
+            alike |= np.add.reduceat((every[x] != every[y]).astype(np.int64), at) + gap <= np.maximum(n[i], n[j]) - least
+        for x, y in zip(i[alike].tolist(), j[alike].tolist()):
+            if (a := forest.find(own[x])) != (b := forest.find(own[y])):
+                join(x, y, a, b, now)
+        i, j, least = i[~alike], j[~alike], least[~alike]
+        if not len(i):
+            return
         # Words that only the other line has are edits; bits of long lines do not tell that.
-        mine = word[first[i] : first[i] + n[i]]
-        mark[mine] = True
-        ends = np.cumsum(n[j])
-        there = np.add.reduceat(mark[word[np.repeat(first[j] - ends + n[j], n[j]) + np.arange(ends[-1])]].astype(np.int64), ends - n[j])
-        mark[mine] = False
-        own = code[i].tolist()
-        for k in j[there >= np.maximum(n[j], n[i]) * similarity - 1e-9].tolist():
-            if label[k] != label[i] and edits(own, code[k].tolist()) <= max(n[k], n[i]) * (1 - similarity) + 1e-9:
-                out.append((int(min(names[i], names[k])), int(max(names[i], names[k]))))
-                label[label == label[k]] = label[i]
+        x, at = _within(first[j], n[j])
+        wanted = np.repeat(i, n[j]) * (word.max() + 1) + word[x]
+        there = held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
+        ok = np.add.reduceat(there.astype(np.int64), at) >= least
+        for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+            if (a := forest.find(own[x])) == (b := forest.find(own[y])):
+                continue
+            one, other = (lines[k] if k in lines else lines.setdefault(k, every[first[k] : first[k] + n[k]].tolist()) for k in (x, y))
+            if edits(one, other) <= max(len(one), len(other)) * (1 - similarity) + 1e-9:
+                join(x, y, a, b, now)
+
+    starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([starts, [len(region)]]))
+    few = np.flatnonzero((size > 1) & (size <= SMALL))
+    # So many pairs of rows are held at once; a longer line has more words to compare.
+    for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(size[few] ** 2) // PAIRS)) + 1):
+        if len(part):
+            rows, _ = _within(starts[part], size[part])
+            i, j = _pairs(size[part])
+            compare(rows[i], rows[j])
+    for lo, hi in zip(starts[size > SMALL].tolist(), (starts + size)[size > SMALL].tolist()):
+        now = label[lo:hi]
+        now[:] = [forest.find(x) for x in own[lo:hi]]
+        for i in range(lo, hi - 1):
+            j = i + 1 + np.flatnonzero(now[i - lo + 1 :] != now[i - lo])
+            compare(np.full(len(j), i), j, now)
     return out
 
 
+def region_links(names: np.ndarray, roots: np.ndarray, code: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all like lines of a region, beside those that stand in roots."""
+    return all_links(np.zeros(len(names), np.int64), names, roots, np.concatenate(code), np.array([len(x) for x in code], np.int64), similarity)
+
+
 def _links_in(rows: DataFrame, similarity: float) -> DataFrame:
     """a, b: links of like lines in regions of bounded size. rows: region, lh, root, code. Some regions share a task's call."""
 
     def run(key, table):
-        table = table.combine_chunks()
         region, names, roots = (table[c].to_numpy() for c in ("region", "lh", "root"))
-        order = np.argsort(region, kind="stable")
-        code = [np.frombuffer(x.as_buffer(), "<u4") for x in table["code"]]
-        found = []
-        for own in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
-            own = own[np.unique(names[own], return_index=True)[1]]  # a line may come twice
-            found += region_links(names[own], roots[own], [code[k] for k in own], similarity)
+        order = np.lexsort((names, region))
+        new = (np.diff(region[order]) != 0) | (np.diff(names[order]) != 0)
+        order = order[np.concatenate([[True], new])]  # a line may come twice
+        region, names, roots = region[order], names[order], roots[order]
+        code = table["code"].combine_chunks().take(pa.array(order))
+        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+        at = np.frombuffer(code.buffers()[1], np.int32 if pa.types.is_binary(code.type) else np.int64)[code.offset : code.offset + len(code) + 1].astype(np.int64)
+        every = np.frombuffer(code.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u4")
+        found = all_links(region, names, roots, every, np.diff(at) // 4, similarity)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     calls = max(64, rows.count() // TOGETHER)
@@ -311,30 +365,47 @@ def _clouds(rows: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     return links.unionByName(_links_in(written(cells, "cells"), similarity))
 
 
-def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """node, root: the components of like lines."""
-    keyed = groups.where(F.size("keys") > 0).select("lh", "need", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+def _shared(members: DataFrame, most: bool = False) -> DataFrame:
+    """The rows of keys that several lines have, and of lines that have enough such keys. With most, lines that need two are left
+    without their most frequent key: like lines share two, so still one; keys have one order, by how many lines have them."""
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = members.select("lh", "need", "key").join(keys.hint("shuffle_hash"), "key")
+    line = Window.partitionBy("lh")
+    left = left.withColumn("k", F.count(F.lit(1)).over(line)).withColumn("last", F.max(F.struct("n", "key")).over(line)).where("k >= need")
+    if most:
+        left = left.where((F.col("need") < SHARED) | (F.struct("n", "key") != F.col("last")))
+    out = written(left.select("lh", "need", "key"), "members")
+    forget(members)
+    return out
+
+
+def _regions(found: DataFrame) -> DataFrame:
+    """region, lh: lines with a hub, the least line that has one of their keys."""
+    keyed = found.where(F.size("keys") > 0).select("lh", "need", F.explode("keys").alias("key"))
+    # Lines that are equal have one hash, so a key that only they have has one.
+    shared = keyed.groupBy("key").agg(F.min("lh").alias("least"), F.max("lh").alias("most")).where("least < most").select("key")
+    shared = written(shared, "shared")
+    forget(written(shared.limit(0), "none"))  # the shuffled keys go
     # Keys that lines share are the smaller side, dealt evenly by hash, so the longer one need not be sorted.
-    members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "members")
+    members = written(keyed.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["lh", "key"]), "members")
     forget(shared)
-    for _ in range(2):
-        lines = members.groupBy("lh").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need").select("lh")
-        left = members.join(lines.hint("shuffle_hash"), "lh", "left_semi")
-        keys = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("hub")).where("n > 1")
-        left = written(left.select("key", "lh", "need").join(keys.drop("n"), "key"), "members")
-        forget(members)
-        members = left
-    regions = written(members.select(F.col("hub").alias("region"), "lh").distinct(), "regions")
+    members = _shared(_shared(members), most=True)
+    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("region")).where("n > 1").select("key", "region")
+    regions = written(members.join(hubs.hint("shuffle_hash"), "key").select("region", "lh").distinct(), "regions")
     forget(members)
-    codes = _codes(docs, groups, regions.select("lh").distinct())
+    return regions
+
+
+def _links(regions: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
+    """node, root: the components of like lines."""
     coded = lambda rows: rows.join(codes, "lh").select("region", "lh", F.col("lh").alias("root"), "code")
 
     def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links in the regions of one part, and the rows of the others, with parts."""
         rows = written(coded(rows), "rows")
         large = written(_sizes(rows).where("parts > 1"), "large")
-        return _links_in(rows.join(large, "region", "left_anti"), similarity), written(rows.drop("root").join(large, "region"), "hot")
+        few = rows if large.isEmpty() else rows.join(large, "region", "left_anti")
+        return _links_in(few, similarity), written(rows.drop("root").join(large, "region"), "hot")
 
     links, hot = parted(regions)
     if not hot.isEmpty():
@@ -342,27 +413,28 @@ def _links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
         links = links.unionByName(more)
         if not hot.isEmpty():
             links = _clouds(hot, links, similarity)
-    roots = components(links)
-    forget(regions, codes)
-    return roots
+    return components(links)
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
     found = written(_measured(docs, similarity, min_words), "lines")
-    first = F.min(F.struct("doc_id", "line", "th")).alias("first")
-    groups = written(found.groupBy("lh").agg(first, F.first("need").alias("need"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "groups")
-    # The keys are done with in groups; what is read last are places of lines.
+    regions = _regions(found)
+    wanted = regions.select("lh").distinct()
+    codes = written(found.select("lh", "code").join(wanted.hint("shuffle_hash"), "lh", "left_semi").dropDuplicates(["lh"]), "codes")
+    # Keys and words are done with; what is read last are places of lines.
     small = written(found.select("doc_id", "th", "line", "lh"), "places")
     forget(found)
-    roots = _links(docs, groups, similarity)
-    named = groups.join(roots, groups.lh == roots.node, "left").select("lh", "first", "n", "root")
-    named = written(named.where("n > 1 or root is not null"), "named")
-    kept = named.where("root is not null").groupBy("root").agg(F.min("first").alias("kept"))
-    keep = written(named.join(kept, "root", "left").select("lh", F.coalesce("kept", "first").alias("keep")), "keep")
-    gone = small.join(keep, "lh").where(F.struct("doc_id", "line", "th") != F.col("keep"))
+    roots = _links(regions, codes, similarity)
+    forget(regions, codes)
+    # Equal lines, and like ones, have one name.
+    named = small.join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
+    named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
+    forget(small)
+    kept = named.groupBy("name").agg(F.min(F.struct("doc_id", "line", "th")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = named.join(kept.hint("shuffle_hash"), "name").where(F.struct("doc_id", "line", "th") != F.col("keep"))
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
-    forget(small, groups, named, keep)
+    forget(named)
     return gone
 
 

@@ -395,6 +395,43 @@ def test_region_links():
         assert classes(line_dedup.region_links(names, names, [np.array(w, "<u4") for w in lines], 0.8)) == classes(like)
 
 
+def test_links_of_many_regions(monkeypatch):
+    """Regions compared many at a time, or one by one, have the links of all pairs compared."""
+    rng, rows = random.Random(3), []
+    for r in range(40):
+        bases = [[rng.randrange(2**32 if r % 2 else 40) for _ in range(rng.choice((5, 6, 10, 25, 80)))] for _ in range(3)]
+        for k in range(rng.randint(1, 14)):
+            w = list(rng.choice(bases))
+            for _ in range(rng.randint(0, len(w) // 5 + 1)):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randint(0, 1)] = [rng.randrange(2**32)] * rng.randint(0, 1) or [1]
+            rows.append((r, 100 * k + r, w))
+    region, names, n = (np.array(x) for x in ([x[0] for x in rows], [x[1] for x in rows], [len(x[2]) for x in rows]))
+
+    def classes(links):
+        root = {x[1]: x[1] for x in rows}
+        for a, b in links:
+            least, both = min(root[a], root[b]), (root[a], root[b])
+            root = {x: least if y in both else y for x, y in root.items()}
+        return root
+
+    like = [(x[1], y[1]) for k, x in enumerate(rows) for y in rows[:k] if x[0] == y[0] and word_edits(x[2], y[2]) <= 0.2 * max(len(x[2]), len(y[2])) + 1e-9]
+    for small in (128, 4):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        links = line_dedup.all_links(region, names, names, np.concatenate([np.array(x[2], "<u4") for x in rows]), n, 0.8)
+        assert classes(links) == classes(like) and len(links) == len(rows) - len(set(classes(like).values()))
+
+
+def test_components_carry_few_rows(spark, monkeypatch):
+    """Nodes that have met are carried no further: the rows written for a long chain are a small multiple of its nodes."""
+    from gridloom.llm import graph
+
+    rows, order = [], random.Random(5).sample(range(300), 300)
+    monkeypatch.setattr(graph, "written", lambda df, name, put=graph.written: (out := put(df, name), rows.append(out.count()))[0])
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(300), 0) and sum(rows) < 10 * 300
+
+
 def test_short_lines(spark):
     """Equal lines of few words, or without spaces, are found too."""
     rows = [(k, f"All rights reserved.\n{line}") for k, line in enumerate(("一二三四五六七八九十", "一二三四五六七八九十", "own line"))]
