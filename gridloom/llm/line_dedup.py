@@ -2,7 +2,7 @@
 connected group stays. Words, keys and edits are reckoned in numpy; rows are joined and counted by Spark.
 
 A line is normalised by lower-casing and reading every run of other characters than letters, marks and digits as a space. Equal
-normalised lines are one group from the start (counted before anything is joined), if they have MIN_WORDS words or MIN_CHARS characters.
+normalised lines are one group by their hash, if they have MIN_WORDS words or MIN_CHARS characters.
 Lines of MIN_WORDS words at least are compared by edit similarity over words, 1 - edits / words of the longer line >= SIMILARITY.
 
 1. Blocks. A line of n words has n blocks of three consecutive words (after the last word comes the first). An edit touches three
@@ -11,10 +11,12 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
    These are the keys of a line, all of up to 20 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are
    common, so that fewer than two of the first 14 are has a chance of 0.8 % at the limit of similarity with edits spread evenly, and
    less with others.
-2. Keys are counted before rows are joined; lines that share fewer than two of theirs with any others are done, and keys that only they
-   had. The least line of a key is its hub; all lines of keys with one hub are a region.
-3. In a region, 128 bits of each line's words rule out most pairs; the others' edits are counted by a bit-parallel recurrence, unless
-   links found before connect them. No pair is sent anywhere.
+2. Keys that only one line has go before rows are joined; lines that share fewer than two of theirs with any others are done, and keys
+   that only they had. A line that needs two leaves its most frequent key: a like line shares another. The least line of a key is its
+   hub; all lines of keys with one hub are a region.
+3. In a region, 128 bits of each line's words rule out most pairs; words that differ place by place prove others; the edits of the rest
+   are counted by a bit-parallel recurrence, unless links found before connect them. Pairs of many regions are reckoned at a time. No pair
+   is sent anywhere.
 4. Regions of over HOT lines (a passage that many lines hold) are cut by a second pigeonhole: of n words at most floor(0.2 n) are missing
    in a like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency
    among all lines of such regions. What is over HOT still (a cloud of near copies) is dealt over tasks: each part is compared in
@@ -387,8 +389,10 @@ def _regions(found: DataFrame) -> DataFrame:
     shared = written(shared, "shared")
     forget(written(shared.limit(0), "none"))  # the shuffled keys go
     # Keys that lines share are the smaller side, dealt evenly by hash, so the longer one need not be sorted.
-    members = written(keyed.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["lh", "key"]), "members")
+    again = written(keyed.join(shared.hint("shuffle_hash"), "key"), "again")
     forget(shared)
+    members = written(again.dropDuplicates(["lh", "key"]), "members")
+    forget(again)
     members = _shared(_shared(members), most=True)
     hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("region")).where("n > 1").select("key", "region")
     regions = written(members.join(hubs.hint("shuffle_hash"), "key").select("region", "lh").distinct(), "regions")
@@ -418,7 +422,8 @@ def _links(regions: DataFrame, codes: DataFrame, similarity: float) -> DataFrame
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
-    found = written(_measured(docs, similarity, min_words), "lines")
+    # The largest table that is written: its codes are words, and repeat.
+    found = written(_measured(docs, similarity, min_words), "lines", "zstd")
     regions = _regions(found)
     wanted = regions.select("lh").distinct()
     codes = written(found.select("lh", "code").join(wanted.hint("shuffle_hash"), "lh", "left_semi").dropDuplicates(["lh"]), "codes")
