@@ -127,10 +127,11 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, name: str = "table", codec: str = "snappy") -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str = "table", codec: str = "snappy", repeats: bool = True) -> DataFrame:
+    """The rows, written to the shared folder and read again: cuts the lineage, survives lost executors. If values do not repeat, no
+    dictionary of them is tried."""
     path = f"{folder(df.sparkSession)}/{name}"
-    df.write.parquet(path, compression=codec)
+    df.write.option("parquet.enable.dictionary", repeats).parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

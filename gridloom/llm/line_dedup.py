@@ -1,5 +1,5 @@
 """Line dedup: like lines are found by joining on pigeonhole blocks of their words and verified by edit similarity; one occurrence of each
-connected group stays. Words, keys and edits are reckoned in numpy; rows are joined and counted by Spark.
+connected group stays. DataFrame operations only.
 
 A line is normalised by lower-casing and reading every run of other characters than letters, marks and digits as a space. Equal
 normalised lines are one group by their hash, if they have MIN_WORDS words or MIN_CHARS characters.
@@ -11,17 +11,15 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
    These are the keys of a line, all of up to 20 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are
    common, so that fewer than two of the first 14 are has a chance of 0.8 % at the limit of similarity with edits spread evenly, and
    less with others.
-2. Keys that only one line has go before rows are joined; lines that share fewer than two of theirs with any others are done, and keys
-   that only they had. A line that needs two leaves its most frequent key: a like line shares another. The least line of a key is its
-   hub; all lines of keys with one hub are a region.
-3. In a region, 128 bits of each line's words rule out most pairs; words that differ place by place prove others; the edits of the rest
-   are counted by a bit-parallel recurrence, unless links found before connect them. Pairs of many regions are reckoned at a time. No pair
-   is sent anywhere.
-4. Regions of over HOT lines (a passage that many lines hold) are cut by a second pigeonhole: of n words at most floor(0.2 n) are missing
-   in a like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here, that of rising frequency
-   among all lines of such regions. What is over HOT still (a cloud of near copies) is dealt over tasks: each part is compared in
-   itself, then one line of each component with those of the other parts; in the end the lines outside the largest component meet all
-   others, in blocks.
+2. Keys that only one line has, or only lines of unlike lengths, go before rows are joined; lines that share fewer than two of theirs with
+   any others are done, and keys that only they had. A line that needs two leaves its most frequent key: a like line shares another. The
+   least line of a key is its hub; all lines of keys with one hub are a region.
+3. Each line of a region is compared with the hub; those that are unlike it are compared with all others of the region, unless links found
+   before connect them. 256 bits of each line's words rule out most pairs; the edits of the rest are those of two strings with one
+   character a word. No pair is sent anywhere.
+4. Regions with over HOT * HOT pairs to compare (a passage that many lines hold) are cut by a second pigeonhole: of n words at most
+   floor(0.2 n) are missing in a like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here,
+   that of rising frequency among all lines of such regions. What is so large still is dealt over tasks, as cells of HOT by HOT lines.
 5. Of a connected group the occurrence with the smallest (doc_id, line number) stays.
 
 SimHash does not make the keys: at a similarity of 0.8 (an angle of acos 0.8) two sketches of 64 bits are expected to differ in 13 bits,
@@ -34,15 +32,14 @@ empty result; other columns are kept as they are, whatever their names.
 
 from __future__ import annotations
 
-import sys
-import unicodedata
+from functools import reduce
+from operator import add
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _Q, NEAR, SHINGLE, chunks, forget, mix, powers, written
+from gridloom.llm.common import NEAR, SHINGLE, forget, written
 from gridloom.llm.graph import components
 
 MIN_WORDS = SHINGLE
@@ -51,109 +48,237 @@ MIN_CHARS = 6
 BLOCK = 3
 KEYS, SHARED = 14, 2
 SHORT = 3
-HOT, HOT_BYTES = 4_096, 32 << 20
-TOGETHER = 4_096
-CELLS = 1 << 16
-#: Bits of a key that say which line of its piece has it, while keys are sorted; the others make the key.
-OWN_BITS = 14
+HOT = 4_096
+#: How many numbers of 64 bits mark a line's words.
+SKETCH = 4
+#: What stands between words: of ASCII all but letters, digits and the end of a line, one by one, since such a class is one table; then others.
+ASCII_SPACES = "[" + "".join(f"\\x{c:02x}" for c in range(128) if c not in (10, 32) and not chr(c).isalnum()) + "]"
+OTHER_SPACES = r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]"
 #: Regions of up to so many lines are compared many at a time.
 SMALL, PAIRS = 128, 1 << 16
-#: Reckoning takes about a hundred times a piece's bytes for a moment, and a worker keeps what it once had.
-PIECE = 1 << 18
-
-_TABLES: list[np.ndarray] = []
-
-
-def _tables() -> list[np.ndarray]:
-    """For each code point: whether it is part of a word, and a random odd number."""
-    if not _TABLES:
-        inside = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-        _TABLES[:] = [inside, np.random.default_rng(20240711).integers(1, 2**63, sys.maxunicode + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
-    return _TABLES
-
-
-def _most(n: np.ndarray, share: float) -> np.ndarray:
-    """The largest whole numbers of that share of n."""
-    return np.floor(n * share + 1e-9).astype(np.int64)
-
-
-def _joined(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run of values [first, end), in order."""
-    n = len(values)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(n)[0], dtype=np.uint64)])
-        return mix((total[end] - total[first]) * powers(n)[1][first])
-
-
-class Lines:
-    """The lines of some texts that have a word: text (which of the texts), line (its number there), words, chars, first (of h, the hashes
-    of all words; long tells words of over SHORT letters)."""
-
-    def __init__(self, texts: list[str | None]):
-        texts = [x or "" for x in texts]
-        code = np.frombuffer("\n".join(texts).lower().encode("utf-32-le"), "<u4")
-        starts = np.concatenate([[0], np.cumsum([x.count("\n") + 1 for x in texts])]).astype(np.int64)
-        inside, number = _tables()
-        on = np.concatenate([[False], inside[code], [False]])
-        start, end = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:])
-        self.h = _joined(number[code], start, end) if len(start) else np.zeros(0, np.uint64)
-        self.long = end - start > SHORT
-        at = np.searchsorted(np.flatnonzero(code == 10), start)
-        self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-        self.words = np.diff(np.concatenate([self.first, [len(at)]])).astype(np.int64)
-        self.chars = np.add.reduceat(end - start, self.first) if len(at) else at
-        self.place = at[self.first]
-        self.text = np.searchsorted(starts, self.place, "right") - 1
-        self.line = self.place - starts[self.text]
-        self.starts = starts
-
-    def names(self) -> np.ndarray:
-        return _joined(self.h, self.first, self.first + self.words) if len(self.h) else self.h
-
-    def keys(self, similarity: float, min_words: int, most_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, how many each line has, how many of them a like line shares at least)"""
-        n, first, own = (np.repeat(x, self.words) for x in (self.words, self.first, np.arange(len(self.words))))
-        pos = np.arange(len(self.h)) - first
-        block = np.zeros(len(self.h), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(BLOCK):
-                at = pos + k
-                at = first + np.where(at < n, at, at % n)
-                block += self.h[at] * _Q[k + 1]
-        block = (mix(block) >> np.uint64(OWN_BITS + 1)) | ((~self.long).astype(np.uint64) << np.uint64(63 - OWN_BITS))
-        if len(self.words) < 1 << OWN_BITS:
-            block = np.sort(block | own.astype(np.uint64) << np.uint64(64 - OWN_BITS)) & np.uint64((1 << 64 - OWN_BITS) - 1)
-        else:
-            block = block[np.lexsort((block, own))]
-        lost = _most(n, BLOCK * (1 - similarity))
-        new = np.concatenate([[True], block[1:] != block[:-1]])[: len(block)] | (pos == 0)
-        pick = new & (n >= min_words) & (pos < np.minimum(most_keys, lost + SHARED))
-        count = np.bincount(own[pick], minlength=len(self.words))
-        # A line of few distinct blocks may share one only.
-        sure = (count >= most_keys) | (count - _most(self.words, BLOCK * (1 - similarity)) >= SHARED)
-        return block[pick], count, np.where(sure, SHARED, 1)
+
+
+def _words(norm: str) -> Column:
+    return F.array_remove(F.split(norm, " "), "")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th, line, norm, words: the lines of all texts."""
+    low = F.regexp_replace(F.lower("text"), ASCII_SPACES, " ")
+    # Only texts of more than ASCII are read for other marks.
+    text = F.when(F.octet_length("text") == F.length("text"), low).otherwise(F.regexp_replace(low, OTHER_SPACES, " "))
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = own.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "norm"))
+    return lines.select("doc_id", "th", "line", "norm", _words("norm").alias("words"))
 
 
 def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """doc_id, th, line, lh (hash of the normalised line), need, keys, code (four bytes for each word): the lines that count."""
-    most_keys = KEYS
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text", PIECE):
-                found = Lines(part["text"].to_pylist())
-                if not len(found.words):
-                    continue
-                values, count, need = found.keys(similarity, min_words, most_keys)
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values.view(np.int64)))
-                text = pa.array(found.text)
-                at = np.concatenate([found.first, [len(found.h)]]) * 4
-                code = pa.Array.from_buffers(pa.binary(), len(found.words), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer((found.h >> np.uint64(32)).astype("<u4"))])
-                rows = pa.RecordBatch.from_arrays([part["doc_id"].take(text), part["th"].take(text), pa.array(found.line, pa.int32()), pa.array(found.names().view(np.int64)), pa.array(need, pa.int32()), keys, code], names=["doc_id", "th", "line", "lh", "need", "keys", "code"])
-                yield rows.filter(pa.array((found.words >= min_words) | (found.chars >= MIN_CHARS)))
-
-    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, th long, line int, lh long, need int, keys array<long>, code binary")
+    """doc_id, th, line, lh (hash of the words, of lines that count), n (words), need, keys, norm (the text, of lines that are compared)."""
+    # A filter on words would reckon them twice, so lines that do not count stay, without lh.
+    lines = _lines(docs).withColumn("n", F.size("words"))
+    lines = lines.withColumn("around", F.when(F.col("n") >= min_words, F.concat("words", F.slice("words", 1, BLOCK - 1))))
+    block = lambda w, i: F.xxhash64(w, *[F.get("around", i + k) for k in range(1, BLOCK)])
+    # Blocks that start with a short word stand last. 48 bits are written and sent smaller; blocks that share a hash are told apart by the edits.
+    ordered = lambda w, i: F.shiftrightunsigned(block(w, i), 17).bitwiseOR(F.when(F.length(w) > SHORT, F.lit(0).cast("long")).otherwise(F.lit(1 << 47)))
+    enough = F.col("n") >= min_words
+    lost = F.floor(F.col("n") * (BLOCK * (1 - similarity)) + 1e-9).cast("int")
+    blocks = F.when(enough, F.sort_array(F.transform("words", ordered))).otherwise(F.array().cast("array<long>"))
+    counts = enough | (F.length(F.array_join("words", "")) >= MIN_CHARS)
+    lines = lines.select("doc_id", "th", "line", F.when(counts, F.xxhash64("words")).alias("lh"), "n", lost.alias("lost"), F.when(enough, F.col("norm")).alias("norm"), blocks.alias("blocks"))
+    lines = lines.withColumn("keys", F.array_distinct(F.slice("blocks", 1, F.least(F.lit(KEYS), F.col("lost") + SHARED))))
+    # A line of few distinct blocks may share one only.
+    sure = (F.size("keys") >= KEYS) | (F.size("keys") - F.col("lost") >= SHARED)
+    return lines.select("doc_id", "th", "line", "lh", "n", F.when(sure, SHARED).otherwise(1).alias("need"), "keys", "norm")
+
+
+def _codes(lines: DataFrame) -> DataFrame:
+    """lh, n, code (a character of four bytes for each word, 26 of its bits from the word's hash), s0 ... (a bit for each word)."""
+    lines = lines.select("lh", F.transform(_words("norm"), lambda w: F.xxhash64(w)).alias("h"))
+    letters = F.array_join(F.transform("h", lambda h: F.hex(h.bitwiseAND(F.lit(0x03FFFFFF)).bitwiseOR(F.lit(0xF0000000)))), "")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(SKETCH - 1))
+    marked = lambda k: lambda x, h: F.when(own(h) == k, x.bitwiseOR(bit(h))).otherwise(x)
+    sketch = [F.aggregate("h", F.lit(0).cast("long"), marked(k)).alias(f"s{k}") for k in range(SKETCH)]
+    return lines.select("lh", F.size("h").alias("n"), F.unhex(letters).alias("code"), *sketch)
+
+
+def _like(a: str, b: str, similarity: float) -> Column:
+    """Whether two lines are like: by their lengths, by words that only one has, and by the edits."""
+    of = lambda t: lambda c: F.col(f"{t}.{c}")
+    x, y = of(a), of(b)
+    most = F.greatest(x("n"), y("n"))
+    edits = F.floor(most * (1 - similarity) + 1e-9).cast("int")
+
+    def fits(x, y):
+        """So few words of x can be none of y's."""
+        lost = [F.bit_count(x(f"s{k}").bitwiseAND(F.bitwise_not(y(f"s{k}")))) for k in range(SKETCH)]
+        return reduce(add, lost) <= x("n") - most + edits
+
+    return fits(x, y) & fits(y, x) & (F.call_function("levenshtein", x("code").cast("string"), y("code").cast("string"), edits) >= 0)
+
+
+def _star(regions: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
+    """region, lh, like: whether a line is like the hub of its region, which has the region's name."""
+    hubs = codes.select(F.col("lh").alias("region"), *[F.col(c) for c in codes.columns if c != "lh"])
+    rows = regions.where("lh <> region").join(codes, "lh").alias("x").join(hubs.alias("hub"), F.col("x.region") == F.col("hub.region"))
+    return written(rows.select("x.region", "x.lh", _like("x", "hub", similarity).alias("like")), "star")
+
+
+def _parts(star: DataFrame) -> DataFrame:
+    """region, rest (lines unlike the hub), n, of regions where such lines must meet others."""
+    return star.groupBy("region").agg(F.count_if(~F.col("like")).alias("rest"), F.count(F.lit(1)).alias("n")).where("rest > 0 and n > 1")
+
+
+def _others(star: DataFrame, parts: DataFrame, codes: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of lines unlike their hub with the others of the region, unless names (node, root) tells that they have met; by their roots.
+    Large regions are dealt over tasks, as cells of a square. No pair is sent: only those that are like leave the join."""
+    named = names.select(F.col("node").alias("lh"), F.col("root").alias("name"))
+    cells = parts.select("region", F.ceil(F.col("rest") / HOT).cast("int").alias("p"), F.ceil(F.col("n") / HOT).cast("int").alias("q"))
+    rows = star.join(cells, "region").join(named, "lh", "left").withColumn("name", F.coalesce("name", "lh")).join(codes, "lh")
+    rows = written(rows, "rows")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c, seed: F.pmod(F.xxhash64("lh", F.lit(seed)), F.col(c)).cast("int")
+    one = rows.where("not like").withColumn("u", dealt("p", 0)).withColumn("v", each("q")).alias("x")
+    other = rows.withColumn("v", dealt("q", 1)).withColumn("u", each("p")).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("region", "u", "v")]
+    once = (F.col("x.name") != F.col("y.name")) & (F.col("y.like") | (F.col("x.lh") < F.col("y.lh")))
+    found = one.join(other.hint("merge"), same[0] & same[1] & same[2] & once & _like("x", "y", similarity))
+    found = written(found.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), "alike")
+    forget(rows)
+    return found
+
+
+def _leads(regions: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """region, lh: the lines of large regions in smaller ones, by their first words, rare ones among all of these lines first."""
+    words = lines.join(regions.select("lh").distinct(), "lh", "left_semi").select("lh", _words("norm").alias("words"))
+    words = words.select("lh", F.size("words").alias("n"), F.explode(F.array_distinct("words")).alias("w")).select("lh", "n", F.xxhash64("w").alias("word"))
+    words = written(words, "words")
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    line = Window.partitionBy("lh").orderBy("often", "word")
+    lead = words.join(often, "word").withColumn("k", F.row_number().over(line)).where(F.col("k") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1)
+    cut = written(regions.join(lead.select("lh", "word"), "lh"), "cut")
+    hubs = cut.groupBy("region", "word").agg(F.min("lh").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("region", "word", "hub")
+    out = written(cut.join(hubs, ["region", "word"]).select(F.col("hub").alias("region"), "lh").distinct(), "leads")
+    forget(words, cut)
+    return out
+
+
+def _shared(members: DataFrame, similarity: float, most: bool = False) -> DataFrame:
+    """The rows of keys that several lines of like lengths have, and of lines that have enough such keys. With most, lines that need two are
+    left without their most frequent key: like lines share two, so still one; keys have one order, by how many lines have them."""
+    # If a line of the key has a like length, the next longer or the next shorter one has.
+    key = Window.partitionBy("key").orderBy("n")
+    short, long = F.lag("n").over(key), F.lead("n").over(key)
+    often = F.count(F.lit(1)).over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    left = members.select("lh", "need", "n", "key", short.alias("short"), long.alias("long"), often.alias("often"))
+    left = left.where((F.col("short") >= F.col("n") * similarity - 1e-9) | (F.col("n") >= F.col("long") * similarity - 1e-9))
+    line = Window.partitionBy("lh")
+    left = left.withColumn("k", F.count(F.lit(1)).over(line)).withColumn("last", F.max(F.struct("often", "key")).over(line)).where("k >= need")
+    if most:
+        left = left.where((F.col("need") < SHARED) | (F.struct("often", "key") != F.col("last")))
+    out = written(left.select("lh", "need", "n", "key"), "members")
+    forget(members)
+    return out
+
+
+def _regions(found: DataFrame, similarity: float) -> DataFrame:
+    """region, lh: lines with a hub, the least line that has one of their keys."""
+    keyed = found.where(F.size("keys") > 0).select("lh", F.when(F.col("need") < SHARED, -F.col("n")).otherwise(F.col("n")).alias("n"), F.explode("keys").alias("key"))
+    # Dealt once: keys are counted where their rows are, and those that lines share find them there. Both sides use all columns, or the
+    # rows would be sent twice.
+    keyed = keyed.repartition("key")
+    # Lines that are equal have one hash, so a key that only they have has one.
+    shared = keyed.groupBy("key").agg(F.min("lh").alias("least"), F.max("lh").alias("most"), F.max(F.abs("n")).alias("n")).where("least < most and n > 0").select("key")
+    again = written(keyed.join(shared.hint("shuffle_hash"), "key"), "again")
+    need = F.when(F.col("n") < 0, 1).otherwise(SHARED)
+    members = written(again.dropDuplicates(["lh", "key"]).select("lh", need.alias("need"), F.abs("n").alias("n"), "key"), "members")
+    forget(again)
+    members = _shared(_shared(members, similarity), similarity, most=True)
+    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("region")).where("n > 1").select("key", "region")
+    regions = written(members.join(hubs.hint("shuffle_hash"), "key").select("region", "lh").distinct(), "regions")
+    forget(members)
+    return regions
+
+
+def _met(names: DataFrame, links: DataFrame) -> DataFrame:
+    """The names (node, root) after links of roots, or of lines that had no name."""
+    more = components(links)
+    moved = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    own = names.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(own.unionByName(more.join(names, "node", "left_anti")), "names")
+
+
+def _links(regions: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """node, root: the components of like lines."""
+    codes = written(_codes(lines), "codes")
+    linked = lambda star: star.where("like").select(F.col("region").alias("a"), F.col("lh").alias("b"))
+    star = _star(regions, codes, similarity)
+    names = components(linked(star))
+    parts = written(_parts(star), "parts")
+    large = f"rest * n > {HOT} * {HOT}"
+    names = _met(names, _others(star, parts.where(f"not ({large})"), codes, names, similarity))
+    hot = parts.where(large).select("region")
+    if not hot.isEmpty():
+        star = _star(_leads(regions.join(hot, "region"), lines, similarity), codes, similarity)
+        own = names.select("node", "root")
+        rooted = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
+        ends = linked(star)
+        for c in "ab":
+            ends = ends.join(own.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+        names = _met(names, ends.select(rooted("a"), rooted("b")).where("a <> b"))
+        names = _met(names, _others(star, _parts(star), codes, names, similarity))
+    forget(codes)
+    return names
+
+
+def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
+    # The largest table that is written: its words repeat, its values do not.
+    found = written(_measured(docs, similarity, min_words), "lines", "zstd", repeats=False)
+    regions = _regions(found, similarity)
+    wanted = regions.select("lh").distinct()
+    lines = written(found.where("norm is not null").select("lh", "norm").join(wanted.hint("shuffle_hash"), "lh", "left_semi").dropDuplicates(["lh"]), "wanted", "zstd", repeats=False)
+    # Keys and words are done with; what is read last are places of lines.
+    small = written(found.where("lh is not null").select("doc_id", "th", "line", "lh"), "places")
+    forget(found)
+    roots = _links(regions, lines, similarity)
+    forget(regions, lines)
+    # Equal lines, and like ones, have one name.
+    named = small.join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
+    named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
+    forget(small)
+    kept = named.groupBy("name").agg(F.min(F.struct("doc_id", "line", "th")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = named.join(kept.hint("shuffle_hash"), "name").where(F.struct("doc_id", "line", "th") != F.col("keep"))
+    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
+    forget(named)
+    return gone
+
+
+def _left(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    """row (all columns), text, parts (its lines), drop, left (the lines that stay)."""
+    gone = dropped_lines(docs, similarity, min_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    rows = rows.join(gone, ["doc_id", "th"], "left").select("row", "drop", F.split("row.text", "\n").alias("parts"))
+    return rows.withColumn("left", F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("drop", i))))
+
+
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text (the lines that stay), n_lines, n_dropped: a row for each document."""
+    rows = _left(docs, similarity, min_words)
+    n = lambda c: F.coalesce(F.when(F.col("row.text").isNotNull(), c), F.lit(0)).cast("long")
+    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), n(F.size("parts")).alias("n_lines"), n(F.size("parts") - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("text"))
+
+
+def drop_repeated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with the lines that stay, all columns of theirs; those that lost every line go. n_chars, if there, is kept true."""
+    rows = _left(docs, similarity, min_words).where("drop is null or size(left) > 0")
+    changed = {"text": F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("drop").isNull(), F.col("row.n_chars")).otherwise(F.length(changed["text"])).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+# The same links reckoned in numpy, in one place: the operator does not use this; tests compare both with all pairs.
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -275,193 +400,3 @@ def all_links(region: np.ndarray, names: np.ndarray, roots: np.ndarray, every: n
 def region_links(names: np.ndarray, roots: np.ndarray, code: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect all like lines of a region, beside those that stand in roots."""
     return all_links(np.zeros(len(names), np.int64), names, roots, np.concatenate(code), np.array([len(x) for x in code], np.int64), similarity)
-
-
-def _links_in(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links of like lines in regions of bounded size. rows: region, lh, root, code. Some regions share a task's call."""
-
-    def run(key, table):
-        region, names, roots = (table[c].to_numpy() for c in ("region", "lh", "root"))
-        order = np.lexsort((names, region))
-        new = (np.diff(region[order]) != 0) | (np.diff(names[order]) != 0)
-        order = order[np.concatenate([[True], new])]  # a line may come twice
-        region, names, roots = region[order], names[order], roots[order]
-        code = table["code"].combine_chunks().take(pa.array(order))
-        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-        at = np.frombuffer(code.buffers()[1], np.int32 if pa.types.is_binary(code.type) else np.int64)[code.offset : code.offset + len(code) + 1].astype(np.int64)
-        every = np.frombuffer(code.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u4")
-        found = all_links(region, names, roots, every, np.diff(at) // 4, similarity)
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-
-    calls = max(64, rows.count() // TOGETHER)
-    dealt = rows.withColumn("call", F.pmod(F.xxhash64("region"), F.lit(calls)))
-    return written(dealt.groupBy("call").applyInArrow(run, "a long, b long"), "alike")
-
-
-def _sizes(rows: DataFrame, region: str = "region") -> DataFrame:
-    """region, parts: how many parts of a bounded size a region has."""
-    sums = rows.groupBy(region).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("bytes"))
-    return sums.select(region, F.ceil(F.greatest(F.col("n") / HOT, F.col("bytes") / HOT_BYTES)).cast("int").alias("parts"))
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows with root, the component of lh."""
-    return rows.join(roots.withColumnRenamed("node", "lh"), "lh", "left").withColumn("root", F.coalesce("root", "lh"))
-
-
-def _leads(rows: DataFrame, similarity: float) -> DataFrame:
-    """region, lh: the lines of large regions in smaller ones, by their first words, rare ones among all of these lines first. How many
-    have a word is counted in CELLS cells, so that a task sends, and gets back, at most so many numbers."""
-
-    def count(batches):
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for x in batch["code"]:
-                np.add.at(total, np.unique(np.frombuffer(x.as_buffer(), "<u4") % CELLS), 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["cell", "n"])
-
-    lines = rows.dropDuplicates(["lh"]).select("code")
-    level = np.zeros(CELLS, np.int64)
-    for cell, n in lines.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-        level[cell] = int(n).bit_length()
-    level = rows.sparkSession.sparkContext.broadcast(level)
-
-    def lead(batches):
-        for batch in batches:
-            words = []
-            for x in batch["code"]:
-                own = np.frombuffer(x.as_buffer(), "<u4")
-                first = np.unique(own)
-                words.append(first[np.lexsort((first, level.value[first % CELLS]))][: int(_most(np.int64(len(own)), 1 - similarity)) + 1])
-            which = pa.array(np.repeat(np.arange(len(words)), [len(w) for w in words]))
-            yield pa.RecordBatch.from_arrays([batch["region"].take(which), batch["lh"].take(which), pa.array(np.concatenate(words).astype(np.int64))], names=["region", "lh", "word"])
-
-    cut = written(rows.select("region", "lh", "code").mapInArrow(lead, "region long, lh long, word long"), "cut")
-    hubs = cut.groupBy("region", "word").agg(F.min("lh").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("region", "word", "hub")
-    out = written(cut.join(hubs, ["region", "word"]).select(F.col("hub").alias("region"), "lh").distinct(), "leads")
-    forget(cut)
-    return out
-
-
-def _clouds(rows: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """All links, with those in regions of any size. rows: region, lh, code, parts."""
-    dealt = lambda c, seed: F.pmod(F.xxhash64("lh", F.lit(seed)), F.col(c)).cast("int")
-    part = lambda *c: F.xxhash64("region", *c).alias("region")
-    roots = components(links)
-    links = links.unionByName(_links_in(_rooted(rows, roots).select(part(dealt("parts", 0)), "lh", "root", "code"), similarity))
-    # A line of each component meets those of the others, by parts too.
-    firsts = written(_rooted(rows, components(links)).groupBy("region", "root").agg(F.min_by(F.struct("lh", "code"), F.xxhash64("lh")).alias("x")).select("region", "root", "x.lh", "x.code"), "firsts")
-    few = firsts.join(_sizes(firsts), "region").select(part(dealt("parts", 1)), "lh", "root", "code")
-    links = links.unionByName(_links_in(few, similarity))
-    # Lines outside the largest component meet all others.
-    named = written(_rooted(rows, components(links)), "named")
-    main = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max_by("root", "n").alias("main"))
-    named = written(named.join(main, "region"), "main")
-    rest = named.where("root <> main")
-    blocks = _sizes(rest).withColumnRenamed("parts", "blocks")
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias("each")
-    whole = named.join(blocks, "region").select("region", "lh", "root", "code", dealt("parts", 0).alias("own"), each("blocks"))
-    apart = rest.join(blocks, "region").select("region", "lh", "root", "code", each("parts"), dealt("blocks", 2).alias("block"))
-    cells = whole.select(part("own", "each"), "lh", "root", "code").unionByName(apart.select(part("each", "block"), "lh", "root", "code"))
-    return links.unionByName(_links_in(written(cells, "cells"), similarity))
-
-
-def _shared(members: DataFrame, most: bool = False) -> DataFrame:
-    """The rows of keys that several lines have, and of lines that have enough such keys. With most, lines that need two are left
-    without their most frequent key: like lines share two, so still one; keys have one order, by how many lines have them."""
-    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = members.select("lh", "need", "key").join(keys.hint("shuffle_hash"), "key")
-    line = Window.partitionBy("lh")
-    left = left.withColumn("k", F.count(F.lit(1)).over(line)).withColumn("last", F.max(F.struct("n", "key")).over(line)).where("k >= need")
-    if most:
-        left = left.where((F.col("need") < SHARED) | (F.struct("n", "key") != F.col("last")))
-    out = written(left.select("lh", "need", "key"), "members")
-    forget(members)
-    return out
-
-
-def _regions(found: DataFrame) -> DataFrame:
-    """region, lh: lines with a hub, the least line that has one of their keys."""
-    keyed = found.where(F.size("keys") > 0).select("lh", "need", F.explode("keys").alias("key"))
-    # Lines that are equal have one hash, so a key that only they have has one.
-    shared = keyed.groupBy("key").agg(F.min("lh").alias("least"), F.max("lh").alias("most")).where("least < most").select("key")
-    shared = written(shared, "shared")
-    forget(written(shared.limit(0), "none"))  # the shuffled keys go
-    # Keys that lines share are the smaller side, dealt evenly by hash, so the longer one need not be sorted.
-    again = written(keyed.join(shared.hint("shuffle_hash"), "key"), "again")
-    forget(shared)
-    members = written(again.dropDuplicates(["lh", "key"]), "members")
-    forget(again)
-    members = _shared(_shared(members), most=True)
-    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("region")).where("n > 1").select("key", "region")
-    regions = written(members.join(hubs.hint("shuffle_hash"), "key").select("region", "lh").distinct(), "regions")
-    forget(members)
-    return regions
-
-
-def _links(regions: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
-    """node, root: the components of like lines."""
-    coded = lambda rows: rows.join(codes, "lh").select("region", "lh", F.col("lh").alias("root"), "code")
-
-    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links in the regions of one part, and the rows of the others, with parts."""
-        rows = written(coded(rows), "rows")
-        large = written(_sizes(rows).where("parts > 1"), "large")
-        few = rows if large.isEmpty() else rows.join(large, "region", "left_anti")
-        return _links_in(few, similarity), written(rows.drop("root").join(large, "region"), "hot")
-
-    links, hot = parted(regions)
-    if not hot.isEmpty():
-        more, hot = parted(_leads(hot, similarity))
-        links = links.unionByName(more)
-        if not hot.isEmpty():
-            links = _clouds(hot, links, similarity)
-    return components(links)
-
-
-def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, drop (line numbers): what goes, for each document that loses lines."""
-    # The largest table that is written: its codes are words, and repeat.
-    found = written(_measured(docs, similarity, min_words), "lines", "zstd")
-    regions = _regions(found)
-    wanted = regions.select("lh").distinct()
-    codes = written(found.select("lh", "code").join(wanted.hint("shuffle_hash"), "lh", "left_semi").dropDuplicates(["lh"]), "codes")
-    # Keys and words are done with; what is read last are places of lines.
-    small = written(found.select("doc_id", "th", "line", "lh"), "places")
-    forget(found)
-    roots = _links(regions, codes, similarity)
-    forget(regions, codes)
-    # Equal lines, and like ones, have one name.
-    named = small.join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
-    named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
-    forget(small)
-    kept = named.groupBy("name").agg(F.min(F.struct("doc_id", "line", "th")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = named.join(kept.hint("shuffle_hash"), "name").where(F.struct("doc_id", "line", "th") != F.col("keep"))
-    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
-    forget(named)
-    return gone
-
-
-def _left(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """row (all columns), text, parts (its lines), drop, left (the lines that stay)."""
-    gone = dropped_lines(docs, similarity, min_words)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
-    rows = rows.join(gone, ["doc_id", "th"], "left").select("row", "drop", F.split("row.text", "\n").alias("parts"))
-    return rows.withColumn("left", F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("drop", i))))
-
-
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text (the lines that stay), n_lines, n_dropped: a row for each document."""
-    rows = _left(docs, similarity, min_words)
-    n = lambda c: F.coalesce(F.when(F.col("row.text").isNotNull(), c), F.lit(0)).cast("long")
-    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), n(F.size("parts")).alias("n_lines"), n(F.size("parts") - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("text"))
-
-
-def drop_repeated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with the lines that stay, all columns of theirs; those that lost every line go. n_chars, if there, is kept true."""
-    rows = _left(docs, similarity, min_words).where("drop is null or size(left) > 0")
-    changed = {"text": F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("drop").isNull(), F.col("row.n_chars")).otherwise(F.length(changed["text"])).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

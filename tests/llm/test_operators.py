@@ -368,6 +368,18 @@ def test_line_dedup_is_exact(spark, monkeypatch):
     assert set(found[found.n_dropped == 0].doc_id) == {k for k in range(len(texts)) if top(k) == k}
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Every table that the operator writes, and its result, come from DataFrame operations; near copies that differ from their hub meet."""
+    plans, put = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, *a, **b: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(df, *a, **b))[1])
+    base = [f"word{k}" for k in range(20)]
+    lines = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in range(0, 20, 4)] + ["Ünlike — línes, of\u00a0five words!", "ünlike línes of five WORDS"]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.where("n_dropped = 0").collect()} == {0, 5}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "InArrow" in p or "InPandas" in p or "PythonUDF" in p or "EvalPython" in p]
+
+
 def test_region_links():
     """Against all pairs compared: short and long lines, few different words and many."""
     rng = random.Random(1)
