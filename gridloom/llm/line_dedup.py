@@ -52,8 +52,8 @@ HOT = 4_096
 #: How many numbers of 64 bits mark a line's words.
 SKETCH = 4
 #: What stands between words: of ASCII all but letters, digits and the end of a line, one by one, since such a class is one table; then others.
-ASCII_SPACES = "[" + "".join(f"\\x{c:02x}" for c in range(128) if c not in (10, 32) and not chr(c).isalnum()) + "]"
-OTHER_SPACES = r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]"
+#: They are one class, so that a text is read once, and only characters beyond ASCII are looked up.
+SPACES = "[" + "".join(f"\\x{c:02x}" for c in range(128) if c not in (10, 32) and not chr(c).isalnum()) + r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]]"
 #: Regions of up to so many lines are compared many at a time.
 SMALL, PAIRS = 128, 1 << 16
 
@@ -64,9 +64,7 @@ def _words(norm: str) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, line, norm, words: the lines of all texts."""
-    low = F.regexp_replace(F.lower("text"), ASCII_SPACES, " ")
-    # Only texts of more than ASCII are read for other marks.
-    text = F.when(F.octet_length("text") == F.length("text"), low).otherwise(F.regexp_replace(low, OTHER_SPACES, " "))
+    text = F.regexp_replace(F.lower("text"), SPACES, " ")
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = own.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "norm"))
     return lines.select("doc_id", "th", "line", "norm", _words("norm").alias("words"))
@@ -75,16 +73,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """doc_id, th, line, lh (hash of the words, of lines that count), n (words), need, keys, norm (the text, of lines that are compared)."""
     # A filter on words would reckon them twice, so lines that do not count stay, without lh.
-    lines = _lines(docs).withColumn("n", F.size("words"))
-    lines = lines.withColumn("around", F.when(F.col("n") >= min_words, F.concat("words", F.slice("words", 1, BLOCK - 1))))
-    block = lambda w, i: F.xxhash64(w, *[F.get("around", i + k) for k in range(1, BLOCK)])
-    # Blocks that start with a short word stand last. 48 bits are written and sent smaller; blocks that share a hash are told apart by the edits.
-    ordered = lambda w, i: F.shiftrightunsigned(block(w, i), 17).bitwiseOR(F.when(F.length(w) > SHORT, F.lit(0).cast("long")).otherwise(F.lit(1 << 47)))
+    n = F.size("words")
+    counts = (n >= min_words) | (F.length(F.array_join("words", "")) >= MIN_CHARS)
+    # Words are handed on once only: all of them, then the first again.
+    around = F.when(n >= min_words, F.concat("words", F.slice("words", 1, BLOCK - 1)))
+    lines = _lines(docs).select("doc_id", "th", "line", "norm", n.alias("n"), F.when(counts, F.xxhash64("words")).alias("lh"), around.alias("around"))
+    # 48 bits are written and sent smaller; blocks that share a hash are told apart by the edits. Those that start with a short word stand last.
+    block = lambda w, i: F.shiftrightunsigned(F.xxhash64(w, *[F.get("around", i + k) for k in range(1, BLOCK)]), 17)
+    ordered = lambda w, i: F.when(F.length(w) > SHORT, block(w, i)).otherwise(block(w, i).bitwiseOR(F.lit(1 << 47)))
     enough = F.col("n") >= min_words
     lost = F.floor(F.col("n") * (BLOCK * (1 - similarity)) + 1e-9).cast("int")
-    blocks = F.when(enough, F.sort_array(F.transform("words", ordered))).otherwise(F.array().cast("array<long>"))
-    counts = enough | (F.length(F.array_join("words", "")) >= MIN_CHARS)
-    lines = lines.select("doc_id", "th", "line", F.when(counts, F.xxhash64("words")).alias("lh"), "n", lost.alias("lost"), F.when(enough, F.col("norm")).alias("norm"), blocks.alias("blocks"))
+    blocks = F.when(enough, F.sort_array(F.slice(F.transform("around", ordered), F.lit(1), F.col("n")))).otherwise(F.array().cast("array<long>"))
+    lines = lines.select("doc_id", "th", "line", "lh", "n", lost.alias("lost"), F.when(enough, F.col("norm")).alias("norm"), blocks.alias("blocks"))
     lines = lines.withColumn("keys", F.array_distinct(F.slice("blocks", 1, F.least(F.lit(KEYS), F.col("lost") + SHARED))))
     # A line of few distinct blocks may share one only.
     sure = (F.size("keys") >= KEYS) | (F.size("keys") - F.col("lost") >= SHARED)
@@ -120,7 +120,7 @@ def _like(a: str, b: str, similarity: float) -> Column:
 def _star(regions: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
     """region, lh, like: whether a line is like the hub of its region, which has the region's name."""
     hubs = codes.select(F.col("lh").alias("region"), *[F.col(c) for c in codes.columns if c != "lh"])
-    rows = regions.where("lh <> region").join(codes, "lh").alias("x").join(hubs.alias("hub"), F.col("x.region") == F.col("hub.region"))
+    rows = regions.where("lh <> region").join(codes.hint("shuffle_hash"), "lh").alias("x").join(hubs.hint("shuffle_hash").alias("hub"), F.col("x.region") == F.col("hub.region"))
     return written(rows.select("x.region", "x.lh", _like("x", "hub", similarity).alias("like")), "star")
 
 
@@ -134,7 +134,7 @@ def _others(star: DataFrame, parts: DataFrame, codes: DataFrame, names: DataFram
     Large regions are dealt over tasks, as cells of a square. No pair is sent: only those that are like leave the join."""
     named = names.select(F.col("node").alias("lh"), F.col("root").alias("name"))
     cells = parts.select("region", F.ceil(F.col("rest") / HOT).cast("int").alias("p"), F.ceil(F.col("n") / HOT).cast("int").alias("q"))
-    rows = star.join(cells, "region").join(named, "lh", "left").withColumn("name", F.coalesce("name", "lh")).join(codes, "lh")
+    rows = star.join(cells, "region").join(named, "lh", "left").withColumn("name", F.coalesce("name", "lh")).join(codes.hint("shuffle_hash"), "lh")
     rows = written(rows, "rows")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c, seed: F.pmod(F.xxhash64("lh", F.lit(seed)), F.col(c)).cast("int")
@@ -169,16 +169,14 @@ def _shared(members: DataFrame, similarity: float, most: bool = False) -> DataFr
     # If a line of the key has a like length, the next longer or the next shorter one has.
     key = Window.partitionBy("key").orderBy("n")
     short, long = F.lag("n").over(key), F.lead("n").over(key)
-    often = F.count(F.lit(1)).over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    left = members.select("lh", "need", "n", "key", short.alias("short"), long.alias("long"), often.alias("often"))
-    left = left.where((F.col("short") >= F.col("n") * similarity - 1e-9) | (F.col("n") >= F.col("long") * similarity - 1e-9))
+    left = members.select("lh", "need", "n", "key", short.alias("short"), long.alias("long"), *[F.count(F.lit(1)).over(Window.partitionBy("key")).alias("often")] * most)
+    left = left.where((F.col("short") >= F.col("n") * similarity - 1e-9) | (F.col("n") >= F.col("long") * similarity - 1e-9)).drop("short", "long")
     line = Window.partitionBy("lh")
-    left = left.withColumn("k", F.count(F.lit(1)).over(line)).withColumn("last", F.max(F.struct("often", "key")).over(line)).where("k >= need")
+    left = left.withColumn("k", F.count(F.lit(1)).over(line))
     if most:
+        left = left.withColumn("last", F.max(F.struct("often", "key")).over(line))
         left = left.where((F.col("need") < SHARED) | (F.struct("often", "key") != F.col("last")))
-    out = written(left.select("lh", "need", "n", "key"), "members")
-    forget(members)
-    return out
+    return written(left.where("k >= need").select("lh", "need", "n", "key"), "members")
 
 
 def _regions(found: DataFrame, similarity: float) -> DataFrame:
@@ -189,11 +187,12 @@ def _regions(found: DataFrame, similarity: float) -> DataFrame:
     keyed = keyed.repartition("key")
     # Lines that are equal have one hash, so a key that only they have has one.
     shared = keyed.groupBy("key").agg(F.min("lh").alias("least"), F.max("lh").alias("most"), F.max(F.abs("n")).alias("n")).where("least < most and n > 0").select("key")
-    again = written(keyed.join(shared.hint("shuffle_hash"), "key"), "again")
     need = F.when(F.col("n") < 0, 1).otherwise(SHARED)
-    members = written(again.dropDuplicates(["lh", "key"]).select("lh", need.alias("need"), F.abs("n").alias("n"), "key"), "members")
-    forget(again)
-    members = _shared(_shared(members, similarity), similarity, most=True)
+    # Equal lines become one where their keys are, and lengths are compared there: what is dealt again is one row a line and key.
+    few = keyed.join(shared.hint("shuffle_hash"), "key").distinct().select("lh", need.alias("need"), F.abs("n").alias("n"), "key")
+    first = _shared(few, similarity)
+    members = _shared(first, similarity, most=True)
+    forget(first)
     hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lh").alias("region")).where("n > 1").select("key", "region")
     regions = written(members.join(hubs.hint("shuffle_hash"), "key").select("region", "lh").distinct(), "regions")
     forget(members)
@@ -247,8 +246,12 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     named = small.join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
     named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
     forget(small)
-    kept = named.groupBy("name").agg(F.min(F.struct("doc_id", "line", "th")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = named.join(kept.hint("shuffle_hash"), "name").where(F.struct("doc_id", "line", "th") != F.col("keep"))
+    # Names are dealt once. Most stand once: they go by a count, before places are put in order.
+    named_by = named.repartition("name")
+    several = named_by.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    places = named_by.join(several.hint("shuffle_hash"), "name")
+    kept = Window.partitionBy("name")
+    gone = places.withColumn("keep", F.min(F.struct("doc_id", "line", "th")).over(kept)).where(F.struct("doc_id", "line", "th") != F.col("keep"))
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
     forget(named)
     return gone
@@ -258,7 +261,7 @@ def _left(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """row (all columns), text, parts (its lines), drop, left (the lines that stay)."""
     gone = dropped_lines(docs, similarity, min_words)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
-    rows = rows.join(gone, ["doc_id", "th"], "left").select("row", "drop", F.split("row.text", "\n").alias("parts"))
+    rows = rows.join(gone.hint("shuffle_hash"), ["doc_id", "th"], "left").select("row", "drop", F.split("row.text", "\n").alias("parts"))
     return rows.withColumn("left", F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("drop", i))))
 
 

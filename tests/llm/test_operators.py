@@ -380,6 +380,18 @@ def test_line_dedup_runs_no_python(spark, monkeypatch):
     assert len(plans) > 5 and not [p for p in plans if "InArrow" in p or "InPandas" in p or "PythonUDF" in p or "EvalPython" in p]
 
 
+def test_line_dedup_deals_keys_and_reads_texts_once(spark, monkeypatch):
+    """Keys are written only after they were counted, made one a line and compared by length; a text passes one regular expression."""
+    plans, put = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, *a, **b: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), put(df, name, *a, **b))[1])
+    lines = ["one of the lines that are like each other here", "one of the lines that are like each other there", "ünlike – línes of other wörds"]
+    found = line_dedup._measured(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 0.8, 5)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [r["n"] for r in found.orderBy("doc_id").collect()] == [10, 10, 5]
+    assert line_dedup._regions(found, 0.8).count() == 2
+    assert [name for name, _ in plans] == ["members", "members", "regions"]
+
+
 def test_region_links():
     """Against all pairs compared: short and long lines, few different words and many."""
     rng = random.Random(1)
