@@ -61,3 +61,37 @@ def test_raw_refuses_files_that_are_no_case(spark, tmp_path):
         (tmp_path / f"{n}.raw").write_text(text)
         with pytest.raises(Exception, match="not those of a case"):
             models.read_long(spark, str(tmp_path / f"{n}.raw")).collect()
+
+
+def test_packed_walk_sends_a_row_a_node_not_an_edge(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import topology
+
+    n, wide = 400, 20
+    sent = lambda: sum(s.shuffleWriteRecords() for s in stages(spark))
+    pairs = spark.range(n).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + wide)).alias("b")).where(f"b < {n}")
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    seeds = nodes.select(F.col("node").alias("flow"), F.lit("x").alias("role"), "node")
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {c: spark.conf.get(c) for c in (*conf, "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        before = sent()
+        state, walkers = topology.packed_reach(pairs, seeds, 4, ["flow", "role"], nodes)
+        state.count()
+        assert sent() - before < 100_000
+        found = {(r["flow"], r["node"]) for r in topology.unpacked(state, walkers, ["flow", "role"]).collect()}
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == old.pop("spark.sql.requireAllClusterKeysForCoPartition")
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert found == {(f, m) for f in range(n) for m in range(max(0, f - 4 * wide), min(n, f + 4 * wide + 1))}
+
+
+def stages(spark):
+    """The finished stages of the session."""
+    jvm = spark._jvm
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(k) for k in range(found.size())]
