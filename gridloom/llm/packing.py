@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import re
-import struct
 import unicodedata
 import zlib
 
@@ -27,15 +26,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, ranked, written
+from gridloom.llm.common import chunks, powers, ranked, written
 
 CAPACITY = 4096
 END = 1
 CACHE_WORDS = 600_000
+#: How many new words are encoded as one text, and what the tokens that end a word end with.
+JOINED = 256
+_LAST = "</w>"
+#: Words that repeat in so many bytes are looked up once.
+TEXT_BYTES = 1 << 21
 #: Where splitting into words and encoding each gives what encoding the whole text gives: Latin letters, printable ASCII.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\\|")
+_STRANGE = np.array([bool(_OTHER.search(chr(c))) for c in range(0x251)])
 #: The tokenizer's own split, where no other characters stand.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: What such characters are, in lower case too, as the split takes them.
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_KIND = np.array([_SPACE if c.isspace() else _LETTER if re.match(r"[^\W\d_]", c) else _DIGIT if re.match(r"\d", c) else _SIGN for c in map(chr, range(0x3000))], np.uint8)
+#: A number for each character; words are told apart by sums of these, each times a power, and compared in full.
+_MARK = np.random.default_rng(20250301).integers(1, 2**63, len(_KIND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _starts(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a lower-cased text (its code points) start and end, as _WORD finds them."""
+    kind = _KIND[text]
+    inside = kind != _SPACE
+    other = kind[1:] != kind[:-1]
+    start = inside.copy()
+    start[1:] &= other | (kind[1:] == _DIGIT)
+    # 's, 't and so on, where no sign stands before: two characters, or three, are one word, and letters after it start another.
+    tick = np.flatnonzero((text[:-1] == ord("'")) & start[:-1])
+    if len(tick):
+        after = np.concatenate([text, np.zeros(2, text.dtype)])
+        one, two = after[tick + 1], after[tick + 2]
+        is_ = lambda x, letters: np.isin(x, [ord(c) for c in letters])
+        size = np.where(is_(one, "stmd"), 2, np.where(((two == ord("e")) & is_(one, "rv")) | ((two == ord("l")) & (one == ord("l"))), 3, 0))
+        tick, size = tick[size > 0], size[size > 0]
+        start[tick + 1] = False
+        ends = tick + size
+        ends = ends[ends < len(text)]
+        start[ends] = inside[ends]
+    at = np.flatnonzero(start)
+    # A word ends where the next one starts, or at white space.
+    gap = np.flatnonzero(np.concatenate([~inside, [True]]))
+    return at, np.minimum(np.concatenate([at[1:], [len(text)]]), gap[np.searchsorted(gap, at)])
+
+
+def _within(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first + 0, first + 1 ... of each run of n."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
@@ -46,23 +87,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        #: Whether a token ends a word. If every byte has one that does, each word has one such token, its last.
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[k for w, k in vocab.items() if w.endswith(_LAST)]] = True
+        self.joins = sum(len(w) == 1 + len(_LAST) and w.endswith(_LAST) for w in vocab) == 256
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Words that the cache lacks are encoded together, many as one text."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)] if self.joins else [[w] for w in words]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(group) == 1 or len(ends) != len(group):
+                self.cache.update((w, self._whole(w)) for w in group)
+                continue
+            own = ids.tobytes()
+            self.cache.update((w, own[i:j]) for w, i, j in zip(group, [0, *ends], ends))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.cache.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if new:
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache.clear()
+                new = words
+            self._learn(new)
+            found = [self.cache[w] if x is None else x for w, x in zip(words, found)]
+        return found
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts of characters whose words can be encoded one by one."""
+        lower = [t.lower() for t in texts]
+        joined = "\n".join(lower)
+        text = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        at, ends = _starts(text)
+        n = ends - at
+        scale, back = powers(len(text))
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MARK[text] * scale, dtype=np.uint64)])
+            hashed = (total[ends] - total[at]) * back[at] if len(at) else total[:0]
+        _, first, word = np.unique(hashed, return_index=True, return_inverse=True)
+        same = first[word]
+        if (n[same] != n).any() or (text[_within(at[same], n)] != text[_within(at, n)]).any():  # two words share a hash
+            names = [joined[i:j] for i, j in zip(at.tolist(), ends.tolist())]
+            own: dict[str, int] = {}
+            word = np.array([own.setdefault(w, len(own)) for w in names], np.int64)
+            words = list(own)
+        else:
+            words = [joined[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())]
+        ids = self._ids(words)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        every = np.frombuffer(b"".join(ids), "<u4")[_within((np.cumsum(size) - size)[word], size[word])]
+        # Texts end after so many characters, words and ids.
+        chars = np.cumsum([0] + [len(t) + 1 for t in lower])
+        cut = np.concatenate([[0], np.cumsum(size[word])])[np.searchsorted(at, chars)].tolist()
+        return [every[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Words that the cache lacks are encoded together, for all of the texts."""
-        split = [None if _OTHER.search(t) or not unicodedata.is_normalized("NFC", t) else _WORD.findall(t.lower()) for t in texts]
-        cache = self.cache
-        words = set().union(*(s for s in split if s))
-        new = list(words.difference(cache))
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
-        return [self._whole(t) if s is None else b"".join([cache[w] for w in s]) for t, s in zip(texts, split)]
+        joined = "\n".join(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        if not _STRANGE[np.minimum(chars, len(_STRANGE) - 1)].any() and "<|" not in joined and unicodedata.is_normalized("NFC", joined):
+            return self._plain(texts)
+        plain = [not _OTHER.search(t) and unicodedata.is_normalized("NFC", t) for t in texts]
+        found = iter(self._plain([t for t, p in zip(texts, plain) if p]))
+        return [next(found) if p else self._whole(t) for t, p in zip(texts, plain)]
 
 
 @functools.lru_cache(1)
@@ -81,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(tokenizer)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()])):
                     ids += end

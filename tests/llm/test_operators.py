@@ -131,6 +131,34 @@ def test_encoder():
     assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_joins_new_words(monkeypatch):
+    """New words are encoded many as one text; the ids are the tokenizer's, where words share a hash too, and where the cache overflows."""
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, own):
+            self.own, self.asked = own, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.asked += len(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+        def encode(self, text, **more):
+            return self.own.encode(text, **more)
+
+    rng, other = random.Random(2), Tokenizer.from_file(TOKENIZER)
+    texts = ["", " \n", "Don't they'll 'tis ''s _'re 'LL2'd", *("".join(rng.choices("abdelmrstvÉßȺ '.,_-\n09", k=rng.randint(0, 60))) for _ in range(1500))]
+    right = [np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(texts, add_special_tokens=False)]
+    own = packing.Encoder(TOKENIZER)
+    own.tokenizer = Counted(own.tokenizer)
+    assert own.encode(texts) == right and len(own.cache) > 2000 and own.tokenizer.asked < len(own.cache) / 100
+    assert packing.Encoder(TOKENIZER).encode([]) == [] and own.encode([*texts, "中"])[:-1] == right
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    assert [x for k in range(0, len(texts), 40) for x in own.encode(texts[k : k + 40])] == right
+    monkeypatch.setattr(packing, "_MARK", np.ones_like(packing._MARK))
+    assert own.encode(texts) == right
+
+
 def test_fingerprints(spark, docs):
     plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     found = frame(fingerprints.fingerprint_documents(plain)).sort_values("doc_id").reset_index(drop=True)
