@@ -246,12 +246,8 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     named = small.join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
     named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
     forget(small)
-    # Names are dealt once. Most stand once: they go by a count, before places are put in order.
-    named_by = named.repartition("name")
-    several = named_by.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    places = named_by.join(several.hint("shuffle_hash"), "name")
-    kept = Window.partitionBy("name")
-    gone = places.withColumn("keep", F.min(F.struct("doc_id", "line", "th")).over(kept)).where(F.struct("doc_id", "line", "th") != F.col("keep"))
+    # Names are dealt once and put in order; repeated rows have one rank.
+    gone = named.withColumn("rank", F.rank().over(Window.partitionBy("name").orderBy("doc_id", "line", "th"))).where("rank > 1")
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
     forget(named)
     return gone

@@ -420,6 +420,17 @@ def test_line_dedup_deals_keys_and_reads_texts_once(spark, monkeypatch):
     assert [name for name, _ in plans] == ["members", "members", "regions"]
 
 
+def test_line_dedup_reads_names_once(spark, monkeypatch):
+    """What goes is told by one order of the places of each name, without a join; repeated rows have one place."""
+    plans, put = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, *a, **b: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), put(df, name, *a, **b))[1])
+    line = "one of the lines that stand several times"
+    rows = [(3, line), (2, f"own\n{line}\n{line}"), (2, f"own\n{line}\n{line}"), (2, f"{line} x\n{line}"), (4, "a line of its own that stays")]
+    gone = {(r["doc_id"], r["th"]): sorted(r["drop"]) for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted((d, x) for (d, _), x in gone.items()) == [(2, [1]), (2, [1, 2]), (3, [0])]
+    assert "Join" not in plans["gone"] and plans["gone"].count("Window") == 1
+
+
 def test_region_links():
     """Against all pairs compared: short and long lines, few different words and many."""
     rng = random.Random(1)
