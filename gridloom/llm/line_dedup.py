@@ -7,7 +7,8 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
 
 1. Blocks. A line of n words has n blocks of three consecutive words (after the last word comes the first). An edit touches three
    blocks at most, so of a like line at most floor(0.6 n) blocks are missing: by the pigeonhole principle, if blocks are put into one
-   global order (by hash, those that start with a short word last), like lines share SHARED = 2 of the first floor(0.6 n) + 2 of each.
+   global order (by a hash of their first words, then of all; those that start with a short word last), like lines share SHARED = 2 of the
+   first floor(0.6 n) + 2 of each.
    These are the keys of a line, all of up to 20 words and the first KEYS of longer ones: at least 0.4 of a like line's blocks are
    common, so that fewer than two of the first 14 are has a chance of 0.8 % at the limit of similarity with edits spread evenly, and
    less with others.
@@ -49,7 +50,7 @@ BLOCK = 3
 KEYS, SHARED = 14, 2
 SHORT = 3
 HOT = 4_096
-#: How many numbers of 64 bits mark a line's words.
+#: How many numbers of 64 bits mark a line's words, by the first two bits of the words' hashes.
 SKETCH = 4
 #: What stands between words: of ASCII all but letters, digits and the end of a line, one by one, since such a class is one table; then others.
 #: They are one class, so that a text is read once, and only characters beyond ASCII are looked up.
@@ -63,29 +64,33 @@ def _words(norm: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line, norm, words: the lines of all texts."""
-    text = F.regexp_replace(F.lower("text"), SPACES, " ")
+    """doc_id, th, line, norm, h (a hash for each word; those of short words are not negative, so they stand last): the lines of all texts."""
+    text = F.regexp_replace(F.lower("text"), f"{SPACES}++ *+", " ")
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = own.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "norm"))
-    return lines.select("doc_id", "th", "line", "norm", _words("norm").alias("words"))
+    word = lambda w: F.when(F.length(w) > SHORT, F.xxhash64(w).bitwiseOR(F.lit(-1 << 63))).otherwise(F.shiftrightunsigned(F.xxhash64(w), 1))
+    return lines.select("doc_id", "th", "line", "norm", F.array_remove(F.transform(F.split("norm", " "), word), word(F.lit(""))).alias("h"))
 
 
 def _measured(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """doc_id, th, line, lh (hash of the words, of lines that count), n (words), need, keys, norm (the text, of lines that are compared)."""
     # A filter on words would reckon them twice, so lines that do not count stay, without lh.
-    n = F.size("words")
-    counts = (n >= min_words) | (F.length(F.array_join("words", "")) >= MIN_CHARS)
-    # Words are handed on once only: all of them, then the first again.
-    around = F.when(n >= min_words, F.concat("words", F.slice("words", 1, BLOCK - 1)))
-    lines = _lines(docs).select("doc_id", "th", "line", "norm", n.alias("n"), F.when(counts, F.xxhash64("words")).alias("lh"), around.alias("around"))
-    # 48 bits are written and sent smaller; blocks that share a hash are told apart by the edits. Those that start with a short word stand last.
-    block = lambda w, i: F.shiftrightunsigned(F.xxhash64(w, *[F.get("around", i + k) for k in range(1, BLOCK)]), 17)
-    ordered = lambda w, i: F.when(F.length(w) > SHORT, block(w, i)).otherwise(block(w, i).bitwiseOR(F.lit(1 << 47)))
-    enough = F.col("n") >= min_words
-    lost = F.floor(F.col("n") * (BLOCK * (1 - similarity)) + 1e-9).cast("int")
-    blocks = F.when(enough, F.sort_array(F.slice(F.transform("around", ordered), F.lit(1), F.col("n")))).otherwise(F.array().cast("array<long>"))
-    lines = lines.select("doc_id", "th", "line", "lh", "n", lost.alias("lost"), F.when(enough, F.col("norm")).alias("norm"), blocks.alias("blocks"))
-    lines = lines.withColumn("keys", F.array_distinct(F.slice("blocks", 1, F.least(F.lit(KEYS), F.col("lost") + SHARED))))
+    n = F.size("h")
+    enough = n >= min_words
+    counts = enough | (F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= MIN_CHARS)
+    lost = F.floor(n * (BLOCK * (1 - similarity)) + 1e-9).cast("int")
+    lines = _lines(docs).select("doc_id", "th", "line", F.when(enough, F.col("norm")).alias("norm"), n.alias("n"), F.when(counts, F.xxhash64("h")).alias("lh"), lost.alias("lost"), F.when(enough, F.col("h")).alias("h"))
+    # The order of blocks is that of 16 bits of their first words, then of 32 bits of all of their words. So words tell which blocks can be
+    # among the first: no others are hashed.
+    wanted = F.least(F.lit(KEYS), F.col("lost") + SHARED, F.col("n"))
+    last = F.get(F.sort_array("h"), wanted - 1).bitwiseOR(F.lit((1 << 48) - 1))
+    lines = lines.select("*", wanted.alias("wanted"), last.alias("last"), F.concat("h", F.slice("h", 1, BLOCK - 1)).alias("around"))
+    # 48 bits are written and sent smaller; blocks that share a hash are told apart by the edits.
+    whole = lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *[F.get("around", i + k) for k in range(1, BLOCK)]), 32)
+    block = lambda x, i: F.call_function("shiftleft", F.shiftright(x, 48) + (1 << 15), F.lit(32)).bitwiseOR(whole(x, i))
+    blocks = F.transform("h", lambda x, i: F.when(x <= F.col("last"), block(x, i)).otherwise(F.lit((1 << 63) - 1)))
+    keys = F.when(F.col("h").isNotNull(), F.array_distinct(F.slice(F.sort_array(blocks), F.lit(1), F.col("wanted")))).otherwise(F.array().cast("array<long>"))
+    lines = lines.select("doc_id", "th", "line", "lh", "n", "lost", "norm", keys.alias("keys"))
     # A line of few distinct blocks may share one only.
     sure = (F.size("keys") >= KEYS) | (F.size("keys") - F.col("lost") >= SHARED)
     return lines.select("doc_id", "th", "line", "lh", "n", F.when(sure, SHARED).otherwise(1).alias("need"), "keys", "norm")
@@ -96,10 +101,14 @@ def _codes(lines: DataFrame) -> DataFrame:
     lines = lines.select("lh", F.transform(_words("norm"), lambda w: F.xxhash64(w)).alias("h"))
     letters = F.array_join(F.transform("h", lambda h: F.hex(h.bitwiseAND(F.lit(0x03FFFFFF)).bitwiseOR(F.lit(0xF0000000)))), "")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int"))
-    own = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(SKETCH - 1))
-    marked = lambda k: lambda x, h: F.when(own(h) == k, x.bitwiseOR(bit(h))).otherwise(x)
-    sketch = [F.aggregate("h", F.lit(0).cast("long"), marked(k)).alias(f"s{k}") for k in range(SKETCH)]
-    return lines.select("lh", F.size("h").alias("n"), F.unhex(letters).alias("code"), *sketch)
+    # A sketch's own words stand together in the order of hashes, between marks: no word is tested for each sketch.
+    marks = [F.lit(k << 62).cast("long") for k in range(1 - SKETCH // 2, SKETCH // 2)]
+    lines = lines.select("lh", F.size("h").alias("n"), F.unhex(letters).alias("code"), F.sort_array(F.concat("h", F.array(*marks))).alias("h"))
+    at = [F.array_position("h", m).cast("int").alias(f"p{k + 1}") for k, m in enumerate(marks)]
+    lines = lines.select("*", F.lit(0).alias("p0"), *at, (F.size("h") + 1).alias(f"p{SKETCH}"))
+    own = lambda k: F.slice("h", F.col(f"p{k}") + 1, F.col(f"p{k + 1}") - F.col(f"p{k}") - 1)
+    sketch = [F.aggregate(own(k), F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h))).alias(f"s{k}") for k in range(SKETCH)]
+    return lines.select("lh", "n", "code", *sketch)
 
 
 def _like(a: str, b: str, similarity: float) -> Column:
@@ -237,15 +246,12 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     regions = _regions(found, similarity)
     wanted = regions.select("lh").distinct()
     lines = written(found.where("norm is not null").select("lh", "norm").join(wanted.hint("shuffle_hash"), "lh", "left_semi").dropDuplicates(["lh"]), "wanted", "zstd", repeats=False)
-    # Keys and words are done with; what is read last are places of lines.
-    small = written(found.where("lh is not null").select("doc_id", "th", "line", "lh"), "places")
-    forget(found)
     roots = _links(regions, lines, similarity)
     forget(regions, lines)
-    # Equal lines, and like ones, have one name.
-    named = small.join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
+    # Equal lines, and like ones, have one name. Of what was written first, only places of lines are read.
+    named = found.where("lh is not null").select("doc_id", "th", "line", "lh").join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
     named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
-    forget(small)
+    forget(found)
     # Names are dealt once and put in order; repeated rows have one rank.
     gone = named.withColumn("rank", F.rank().over(Window.partitionBy("name").orderBy("doc_id", "line", "th"))).where("rank > 1")
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "gone")
@@ -254,18 +260,21 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
 
 
 def _left(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """row (all columns), text, parts (its lines), drop, left (the lines that stay)."""
+    """row (all columns), drop, left (the lines that stay, of texts that lose some)."""
     gone = dropped_lines(docs, similarity, min_words)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
-    rows = rows.join(gone.hint("shuffle_hash"), ["doc_id", "th"], "left").select("row", "drop", F.split("row.text", "\n").alias("parts"))
-    return rows.withColumn("left", F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("drop", i))))
+    rows = rows.join(gone.hint("shuffle_hash"), ["doc_id", "th"], "left").select("row", "drop", F.when(F.col("drop").isNotNull(), F.split("row.text", "\n")).alias("parts"))
+    return rows.select("row", "drop", F.when(F.col("drop").isNotNull(), F.filter("parts", lambda x, i: ~F.array_contains("drop", i))).alias("left"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped: a row for each document."""
     rows = _left(docs, similarity, min_words)
-    n = lambda c: F.coalesce(F.when(F.col("row.text").isNotNull(), c), F.lit(0)).cast("long")
-    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), n(F.size("parts")).alias("n_lines"), n(F.size("parts") - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("text"))
+    # Lines of a text that stays whole are only counted.
+    n = F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
+    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), count(n).alias("n_lines"), count(F.when(F.col("drop").isNotNull(), n - F.size("left"))).alias("n_dropped"), text.alias("text"))
 
 
 def drop_repeated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:

@@ -420,6 +420,34 @@ def test_line_dedup_deals_keys_and_reads_texts_once(spark, monkeypatch):
     assert [name for name, _ in plans] == ["members", "members", "regions"]
 
 
+def test_line_dedup_hashes_first_blocks_only(spark, monkeypatch):
+    """The keys of a line are the first of its blocks in one order, whatever words are repeated; words tell which can be, and no others are
+    hashed. Places are read where lines were written; texts that stay whole are not taken apart."""
+    rng = random.Random(5)
+    lines = [" ".join(rng.choices(_WORDS[:most], k=n)) for n in (5, 9, 20, 24, 60, 300) for most in (2, 9, 400)]
+    docs = spark.createDataFrame([(k, f"{x}\n - \na b") for k, x in enumerate(lines)], "doc_id long, text string")
+    measured = line_dedup._measured(docs, 0.8, 5)
+    assert "<= last#" in measured._jdf.queryExecution().optimizedPlan().toString()
+    first = {r["doc_id"]: r for r in measured.where("line = 0").collect()}
+    monkeypatch.setattr(line_dedup, "KEYS", 1000)
+    monkeypatch.setattr(line_dedup, "SHARED", 1000)
+    every = {r["doc_id"]: r["keys"] for r in line_dedup._measured(docs, 0.8, 5).where("line = 0").collect()}
+    monkeypatch.undo()
+    for d, line in enumerate(lines):
+        w = line.split()
+        around = w + w[:2]
+        assert first[d]["n"] == len(w) and len(every[d]) == len({tuple(around[i : i + 3]) for i in range(len(w))}) and every[d] == sorted(every[d])
+        assert first[d]["keys"] == every[d][: len(first[d]["keys"])]
+        if len(every[d]) == len(w):
+            assert len(first[d]["keys"]) == min(14, int(0.6 * len(w) + 1e-9) + 2)
+    assert {(r["line"], r["n"], r["lh"], len(r["keys"])) for r in measured.where("line > 0").collect()} == {(1, 0, None, 0), (2, 2, None, 0)}
+    names, put = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, *a, **b: (names.append(name), put(df, name, *a, **b))[1])
+    out = line_dedup.dedup_lines(docs.union(docs))
+    assert "lines" in names and "places" not in names
+    assert {(r["n_lines"], r["n_dropped"]) for r in out.collect()} == {(3, 0)} and out.where("text like '%\n - \na b'").count() == 2 * len(lines)
+
+
 def test_line_dedup_reads_names_once(spark, monkeypatch):
     """What goes is told by one order of the places of each name, without a join; repeated rows have one place."""
     plans, put = {}, line_dedup.written
