@@ -144,7 +144,7 @@ def _others(star: DataFrame, parts: DataFrame, codes: DataFrame, names: DataFram
     named = names.select(F.col("node").alias("lh"), F.col("root").alias("name"))
     cells = parts.select("region", F.ceil(F.col("rest") / HOT).cast("int").alias("p"), F.ceil(F.col("n") / HOT).cast("int").alias("q"))
     rows = star.join(cells, "region").join(named, "lh", "left").withColumn("name", F.coalesce("name", "lh")).join(codes.hint("shuffle_hash"), "lh")
-    rows = written(rows, "rows")
+    rows = written(rows, "rows", repeats=False)
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c, seed: F.pmod(F.xxhash64("lh", F.lit(seed)), F.col(c)).cast("int")
     one = rows.where("not like").withColumn("u", dealt("p", 0)).withColumn("v", each("q")).alias("x")
@@ -218,7 +218,7 @@ def _met(names: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links(regions: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """node, root: the components of like lines."""
-    codes = written(_codes(lines), "codes")
+    codes = written(_codes(lines), "codes", repeats=False)
     linked = lambda star: star.where("like").select(F.col("region").alias("a"), F.col("lh").alias("b"))
     star = _star(regions, codes, similarity)
     names = components(linked(star))
@@ -250,7 +250,7 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     forget(regions, lines)
     # Equal lines, and like ones, have one name. Of what was written first, only places of lines are read.
     named = found.where("lh is not null").select("doc_id", "th", "line", "lh").join(roots.withColumnRenamed("node", "lh").hint("shuffle_hash"), "lh", "left")
-    named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named")
+    named = written(named.select("doc_id", "th", "line", F.coalesce("root", "lh").alias("name")), "named", repeats=False)
     forget(found)
     # Names are dealt once and put in order; repeated rows have one rank.
     gone = named.withColumn("rank", F.rank().over(Window.partitionBy("name").orderBy("doc_id", "line", "th"))).where("rank > 1")
