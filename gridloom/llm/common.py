@@ -7,6 +7,7 @@ words or shingles speaks of them up to that chance.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import weakref
 
@@ -114,13 +115,24 @@ def _short(own: np.ndarray) -> np.uint64:
     return mix(np.array([value], np.uint64))[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system. Python workers live on after a task, beside their executor, and would hold what a task took at most."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
-    """Slices of a batch with about so many bytes in the column, a row at least."""
+    """Slices of a batch with about so many bytes in the column, a row at least. What a slice took is given back after it."""
     size = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch[column]).fill_null(0)).astype(np.int64))])
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(size, size[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
+        give_back()
         i = j
 
 

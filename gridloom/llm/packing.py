@@ -34,8 +34,8 @@ CACHE_WORDS = 600_000
 #: How many new words are encoded as one text, and what the tokens that end a word end with.
 JOINED = 256
 _LAST = "</w>"
-#: Words that repeat in so many bytes are looked up once.
-TEXT_BYTES = 1 << 21
+#: Words that repeat in so many bytes are looked up once; what a worker needs besides is some hundred times that.
+TEXT_BYTES = 1 << 20
 #: Where splitting into words and encoding each gives what encoding the whole text gives: Latin letters, printable ASCII.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\\|")
 _STRANGE = np.array([bool(_OTHER.search(chr(c))) for c in range(0x251)])
@@ -79,6 +79,44 @@ def _within(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class Words:
+    """Words and their token ids in a few arrays: tens of bytes a word, which as Python objects takes hundreds. Hashes rise; characters and ids
+    stand in the order in which words came."""
+
+    def __init__(self, hashed: np.ndarray, n: np.ndarray, chars: np.ndarray, size: np.ndarray, ids: np.ndarray, at: np.ndarray | None = None, ids_at: np.ndarray | None = None):
+        self.hashed, self.n, self.chars, self.size, self.ids = hashed, n.astype(np.int32), chars.astype(np.uint16), size.astype(np.int32), ids.astype("<u4")
+        self.at = np.cumsum(self.n, dtype=np.int64) - self.n if at is None else at
+        self.ids_at = np.cumsum(self.size, dtype=np.int64) - self.size if ids_at is None else ids_at
+
+    def __len__(self) -> int:
+        return len(self.hashed)
+
+    def find(self, hashed: np.ndarray, n: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray | None:
+        """The place of each word here, or -1; None if another word here has the hash of one."""
+        if not len(self):
+            return np.full(len(hashed), -1)
+        place = np.minimum(np.searchsorted(self.hashed, hashed), len(self) - 1)
+        there = self.hashed[place] == hashed
+        own = place[there]
+        if (self.n[own] != n[there]).any() or (self.chars[_within(self.at[own], self.n[own])] != text[_within(at[there], n[there])]).any():
+            return None
+        return np.where(there, place, -1)
+
+    def ids_of(self, place: np.ndarray) -> np.ndarray:
+        return self.ids[_within(self.ids_at[place], self.size[place])]
+
+    def with_more(self, other: Words) -> Words:
+        """Both; no word stands in either twice."""
+        to = np.searchsorted(self.hashed, other.hashed)
+        both, merged = lambda x, y: np.concatenate([x, y]), lambda x, y: np.insert(x, to, y)
+        at, ids_at = merged(self.at, other.at + len(self.chars)), merged(self.ids_at, other.ids_at + len(self.ids))
+        return Words(merged(self.hashed, other.hashed), merged(self.n, other.n), both(self.chars, other.chars), merged(self.size, other.size), both(self.ids, other.ids), at, ids_at)
+
+
+def _no_words() -> Words:
+    return Words(*[np.zeros(0, t) for t in (np.uint64, np.int32, np.uint16, np.int32, "<u4")])
+
+
 class Encoder:
     """Texts to token ids (little-endian unsigned 32-bit), encoding each distinct word once as long as the cache has room."""
 
@@ -86,7 +124,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.cache = _no_words()
         vocab = self.tokenizer.get_vocab()
         #: Whether a token ends a word. If every byte has one that does, each word has one such token, its last.
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -96,28 +134,37 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that the cache lacks are encoded together, many as one text."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words, which are encoded together, many as one text."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)] if self.joins else [[w] for w in words]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(group) == 1 or len(ends) != len(group):
-                self.cache.update((w, self._whole(w)) for w in group)
-                continue
-            own = ids.tobytes()
-            self.cache.update((w, own[i:j]) for w, i, j in zip(group, [0, *ends], ends))
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, words))
-        new = [w for w, x in zip(words, found) if x is None]
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = words
-            self._learn(new)
-            found = [self.cache[w] if x is None else x for w, x in zip(words, found)]
-        return found
+        out: list[bytes] = []
+        for k in range(0, len(groups), JOINED):  # what the tokenizer returns takes many times what is kept of it
+            part = groups[k : k + JOINED]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(group) == 1 or len(ends) != len(group):
+                    out += map(self._whole, group)
+                    continue
+                own = ids.tobytes()
+                out += [own[i:j] for i, j in zip([0, *ends], ends)]
+        return out
+
+    def _ids(self, hashed: np.ndarray, n: np.ndarray, at: np.ndarray, text: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words, one after another, how many each has); hashes rise."""
+        place = self.cache.find(hashed, n, at, text)
+        if place is None:  # a word that the cache has shares its hash with another: nothing of it is used
+            self.cache, place = _no_words(), np.full(len(hashed), -1)
+        new = np.flatnonzero(place < 0)
+        if len(self.cache) + len(new) > CACHE_WORDS or len(self.cache.chars) > 16 * CACHE_WORDS:
+            self.cache, new = _no_words(), np.arange(len(hashed))
+        if len(new):
+            found = self._learn([joined[i:j] for i, j in zip(at[new].tolist(), (at[new] + n[new]).tolist())])
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            more = Words(hashed[new], n[new], text[_within(at[new], n[new])], size, np.frombuffer(b"".join(found), "<u4"))
+            self.cache = self.cache.with_more(more) if len(self.cache) else more
+            place = np.searchsorted(self.cache.hashed, hashed)
+        return self.cache.ids_of(place), self.cache.size[place].astype(np.int64)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Texts of characters whose words can be encoded one by one."""
@@ -128,20 +175,22 @@ class Encoder:
         n = ends - at
         scale, back = powers(len(text))
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MARK[text] * scale, dtype=np.uint64)])
+            total = np.zeros(len(text) + 1, np.uint64)
+            np.multiply(_MARK[text], scale, out=total[1:])
+            np.cumsum(total, out=total)
             hashed = (total[ends] - total[at]) * back[at] if len(at) else total[:0]
-        _, first, word = np.unique(hashed, return_index=True, return_inverse=True)
+        del total
+        hashed, first, word = np.unique(hashed, return_index=True, return_inverse=True)
         same = first[word]
         if (n[same] != n).any() or (text[_within(at[same], n)] != text[_within(at, n)]).any():  # two words share a hash
             names = [joined[i:j] for i, j in zip(at.tolist(), ends.tolist())]
             own: dict[str, int] = {}
             word = np.array([own.setdefault(w, len(own)) for w in names], np.int64)
-            words = list(own)
+            found = self._learn(list(own))
+            ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         else:
-            words = [joined[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())]
-        ids = self._ids(words)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        every = np.frombuffer(b"".join(ids), "<u4")[_within((np.cumsum(size) - size)[word], size[word])]
+            ids, size = self._ids(hashed, n[first], at[first], text, joined)
+        every = ids[_within((np.cumsum(size) - size)[word], size[word])]
         # Texts end after so many characters, words and ids.
         chars = np.cumsum([0] + [len(t) + 1 for t in lower])
         cut = np.concatenate([[0], np.cumsum(size[word])])[np.searchsorted(at, chars)].tolist()

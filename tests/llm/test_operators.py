@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, fingerprints, html_blocks, jaccard, licenses, line_dedup, packing, quality, shards, warc
+from gridloom.llm import common, decontaminate, fingerprints, html_blocks, jaccard, licenses, line_dedup, packing, quality, shards, warc
 from gridloom.llm.common import NON_ALNUM, Texts, ranked, shingles
 from gridloom.llm.graph import components
 from gridloom.llm.queries import QUERIES
@@ -159,6 +159,32 @@ def test_encoder_joins_new_words(monkeypatch):
     assert own.encode(texts) == right
 
 
+def test_encoder_holds_few_bytes_a_word(monkeypatch):
+    """What a worker keeps of words is small, whatever it has read; words that share a hash with one that it keeps get their own ids."""
+    import tracemalloc
+
+    own, rng = packing.Encoder(TOKENIZER), random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1000)) for _ in range(20)]
+    own.encode(["a b"])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for text in texts:
+        own.encode([text])
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(own.cache) > 19_000 and kept < 120 * len(own.cache)
+    monkeypatch.setattr(packing, "_MARK", np.ones_like(packing._MARK))
+    for text in ["ab cde", "ba cde", "edc ab", *texts[:2]]:
+        assert own.encode([text]) == [own._whole(text)]
+
+
+def test_slices_give_their_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "de", "f"])], names=["text"])
+    assert [x.num_rows for x in common.chunks(batch, "text", 3)] == [2, 2] and len(given) == 2
+
+
 def test_fingerprints(spark, docs):
     plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     found = frame(fingerprints.fingerprint_documents(plain)).sort_values("doc_id").reset_index(drop=True)
