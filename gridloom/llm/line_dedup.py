@@ -16,7 +16,9 @@ Lines of MIN_WORDS words at least are compared by edit similarity over words, 1
    any others are done, and keys that only they had. A line that needs two leaves its most frequent key: a like line shares another. The
    least line of a key is its hub; all lines of keys with one hub are a region.
 3. Each line of a region is compared with the hub; those that are unlike it are compared with all others of the region, unless links found
-   before connect them. 256 bits of each line's words rule out most pairs; the edits of the rest are those of two strings with one
+   before connect them. Of regions with over WIDE pairs, such lines first meet PIVOTS lines of the region, others in each round, until the
+   like pairs that these find tell that no more are left than there are lines: a group of like lines is connected by then, so the pairs
+   that the comparison with all finds do not grow with its square. 256 bits of each line's words rule out most pairs; the edits of the rest are those of two strings with one
    character a word. No pair is sent anywhere.
 4. Regions with over HOT * HOT pairs to compare (a passage that many lines hold) are cut by a second pigeonhole: of n words at most
    floor(0.2 n) are missing in a like line, so like lines share one of the first floor(0.2 n) + 1 words of each in any one order; here,
@@ -50,6 +52,8 @@ BLOCK = 3
 KEYS, SHARED = 14, 2
 SHORT = 3
 HOT = 4_096
+#: Regions of over WIDE pairs meet so many of their lines a round before all.
+WIDE, PIVOTS = 1 << 14, 16
 #: How many numbers of 64 bits mark a line's words, by the first two bits of the words' hashes.
 SKETCH = 4
 #: What stands between words: of ASCII all but letters, digits and the end of a line, one by one, since such a class is one table; then others.
@@ -157,6 +161,30 @@ def _others(star: DataFrame, parts: DataFrame, codes: DataFrame, names: DataFram
     return found
 
 
+def _pivoted(star: DataFrame, parts: DataFrame, codes: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """The names after lines unlike their hub have met lines of their region that a hash picks, in rounds."""
+    wide = parts.where(f"rest * n > {WIDE}")
+    if wide.isEmpty():
+        return names
+    rows = written(star.join(wide.select("region", F.col("n").alias("lines")), "region").join(codes.hint("shuffle_hash"), "lh"), "wide", repeats=False)
+    unlike, seed = rows.where("not like").count(), 0
+    while True:
+        named = rows.join(names.select(F.col("node").alias("lh"), F.col("root").alias("name")), "lh", "left").withColumn("name", F.coalesce("name", "lh"))
+        picked = named.where(F.pmod(F.xxhash64("lh", F.lit(seed)), F.col("lines")) < PIVOTS)
+        once = (F.col("x.region") == F.col("y.region")) & (F.col("x.name") != F.col("y.name"))
+        found = named.where("not like").alias("x").join(picked.alias("y"), once & _like("x", "y", similarity))
+        found = written(found.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), (F.col("x.lines") / PIVOTS).alias("stands_for")), "pivoted")
+        # Of lines / PIVOTS lines one was picked: so many like pairs of different names may have been there.
+        there = found.agg(F.sum("stands_for")).first()[0] or 0
+        if there:
+            names = _met(names, found.select("a", "b"))
+        forget(found)
+        if there <= unlike:
+            forget(rows)
+            return names
+        seed += 1
+
+
 def _leads(regions: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """region, lh: the lines of large regions in smaller ones, by their first words, rare ones among all of these lines first."""
     words = lines.join(regions.select("lh").distinct(), "lh", "left_semi").select("lh", _words("norm").alias("words"))
@@ -224,7 +252,9 @@ def _links(regions: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     names = components(linked(star))
     parts = written(_parts(star), "parts")
     large = f"rest * n > {HOT} * {HOT}"
-    names = _met(names, _others(star, parts.where(f"not ({large})"), codes, names, similarity))
+    few = parts.where(f"not ({large})")
+    names = _pivoted(star, few, codes, names, similarity)
+    names = _met(names, _others(star, few, codes, names, similarity))
     hot = parts.where(large).select("region")
     if not hot.isEmpty():
         star = _star(_leads(regions.join(hot, "region"), lines, similarity), codes, similarity)
@@ -234,7 +264,9 @@ def _links(regions: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
         for c in "ab":
             ends = ends.join(own.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
         names = _met(names, ends.select(rooted("a"), rooted("b")).where("a <> b"))
-        names = _met(names, _others(star, _parts(star), codes, names, similarity))
+        parts = written(_parts(star), "parts")
+        names = _pivoted(star, parts, codes, names, similarity)
+        names = _met(names, _others(star, parts, codes, names, similarity))
     forget(codes)
     return names
 

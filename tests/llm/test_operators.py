@@ -422,6 +422,30 @@ def test_line_dedup_is_exact(spark, monkeypatch):
     assert set(found[found.n_dropped == 0].doc_id) == {k for k in range(len(texts)) if top(k) == k}
 
 
+def test_line_dedup_connects_a_group_before_all_pairs(spark, monkeypatch):
+    """Of near copies, many are unlike their hub; when all lines of a region meet, few of them are not yet connected, so few pairs are made."""
+    rng, rows, made = random.Random(5), [], []
+    base = [f"word{k}" for k in range(40)]
+    for d in range(300):
+        own = list(base)
+        for i in rng.sample(range(40), rng.randint(3, 5) if d else 5):
+            own[i] = f"other{rng.randrange(10**6)}"
+        rows.append((d, " ".join(own)))
+    others = line_dedup._others
+
+    def counted(star, parts, codes, names, similarity):
+        name = {r["node"]: r["root"] for r in names.collect()}
+        own = [(r["like"], name.get(r["lh"], r["lh"])) for r in star.collect()]
+        made.append(sum(x != y for like, x in own if not like for _, y in own))
+        return others(star, parts, codes, names, similarity)
+
+    monkeypatch.setattr(line_dedup, "_others", counted)
+    lines = spark.createDataFrame(rows, "lh long, norm string").coalesce(1)
+    found = frame(line_dedup._links(lines.select(F.lit(0).cast("long").alias("region"), "lh"), lines, 0.8))
+    assert set(found.node) == set(range(len(rows))) and set(found.root) == {0}
+    assert len(made) == 1 and made[0] < 4 * len(rows)
+
+
 def test_line_dedup_runs_no_python(spark, monkeypatch):
     """Every table that the operator writes, and its result, come from DataFrame operations; near copies that differ from their hub meet."""
     plans, put = [], line_dedup.written
